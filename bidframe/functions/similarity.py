@@ -65,6 +65,41 @@ def partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return _per_distinct_pair(_best_window, a, b)
 
 
+def _phrase_ratio(header: str, alias: str, floor: float) -> float:
+    """Best of whole, token-set and partial ratio; 0 when it cannot reach ``floor``."""
+    n, m = len(alias), len(header)
+    shared = sum(min(alias.count(ch), header.count(ch)) for ch in set(alias))
+    longest = n >= 4
+    bound = 200.0 * shared / (n + m)
+    bound_partial = 0.96 * 200.0 * shared / (min(n, m) + shared) if longest and shared else 0.0
+    left, right = set(header.split()), set(alias.split())
+    common = left & right
+    if not common and max(bound, bound_partial) < floor:
+        return 0.0
+    best = _ratio(header, alias)
+    only_a = " ".join(sorted(left - common))
+    only_b = " ".join(sorted(right - common))
+    s, a, b = len(" ".join(sorted(common))), len(only_a), len(only_b)
+    sep = 1 if s else 0
+    if s and not (a and b):
+        return 100.0
+    dist = a + b - 2 * lcs_length(only_a, only_b)
+    best = max(best, 100.0 - 100.0 * dist / (2 * (s + sep) + a + b))
+    if s:
+        best = max(best, 100.0 - 100.0 * (1 + a) / (2 * s + 1 + a),
+                   100.0 - 100.0 * (1 + b) / (2 * s + 1 + b))
+    if longest and bound_partial >= max(best, floor):
+        best = max(best, 0.96 * _best_window(header, alias))
+    return best
+
+
+@F.pandas_udf(DoubleType())
+def phrase_ratio(header: pd.Series, alias: pd.Series, floor: pd.Series) -> pd.Series:
+    """Likeness of a header to a catalogue phrase; a null header gives null."""
+    return pd.Series([None if h is None else _phrase_ratio(h, a, f)
+                      for h, a, f in zip(header, alias, floor)], dtype="object")
+
+
 def indel_ratio(a: Column, b: Column) -> Column:
     total = F.length(a) + F.length(b)
     return F.when(total == 0, F.lit(100.0)).otherwise(

@@ -521,7 +521,9 @@ def _label(a: str) -> str:
          ELSE round((attr_evaluated - attr_divergences) * 100.0 / attr_evaluated, 4) END AS attr_pct,
     {', '.join(_label(a) for a in eq.ATTRIBUTES)} FROM pairs""")
 def compare_attributes(t: Inputs) -> DataFrame:
-    pairs = (quality.valid_rows(t.plain).select("req_description", "description").distinct())
+    pairs = (t.chain.cheapest.join(t.items.select("rfq_id", "item_id", F.col("description").alias(
+        "requested")), ["rfq_id", "item_id"])
+        .select(F.col("requested").alias("req_description"), "description").distinct())
     pairs = text.add_normalized(text.add_normalized(pairs, "req_description", "a"), "description", "b")
     pairs = (pairs.withColumn("x", text.extract_attributes(F.col("a")))
              .withColumn("y", text.extract_attributes(F.col("b"))))
@@ -743,21 +745,21 @@ def _list_sql(c: str) -> str:
 
 @query("product_rollup", f"""SELECT rfq_id, trim(coalesce(description, 'Sem descrição')) AS product,
     {_list_sql('category')} AS categories, count(*) AS quotes, count(DISTINCT supplier) AS suppliers,
-    sum(quantity) AS total_quantity, round(min(unit_price), 4) AS min_price, round(avg(unit_price), 4) AS avg_price,
-    round(max(unit_price), 4) AS max_price, {_list_sql('unit')} AS units, {_list_sql('currency')} AS currencies,
+    sum(quantity) AS total_quantity, round(min(unit_price), 6) AS min_price, round(avg(unit_price), 6) AS avg_price,
+    round(max(unit_price), 6) AS max_price, {_list_sql('unit')} AS units, {_list_sql('currency')} AS currencies,
     {_list_sql('status')} AS statuses, {_list_sql('delivery')} AS deliveries,
     CASE WHEN min(unit_price) > 0 THEN round((max(unit_price) - min(unit_price)) / min(unit_price) * 100, 2) END AS variation_pct
     FROM kept GROUP BY rfq_id, trim(coalesce(description, 'Sem descrição'))""")
 def product_rollup(t: Inputs) -> DataFrame:
-    return rounded(prof.product_rollup(t.chain.kept), "min_price", "avg_price", "max_price")
+    return rounded(prof.product_rollup(t.chain.kept), "min_price", "avg_price", "max_price", digits=6)
 
 
 @query("supplier_rollup", f"""SELECT rfq_id, supplier, count(DISTINCT description) AS products, count(*) AS quotes,
-    round(min(unit_price), 4) AS min_price, round(avg(unit_price), 4) AS avg_price, round(max(unit_price), 4) AS max_price,
+    round(min(unit_price), 6) AS min_price, round(avg(unit_price), 6) AS avg_price, round(max(unit_price), 6) AS max_price,
     {_list_sql('category')} AS categories, {_list_sql('currency')} AS currencies, {_list_sql('status')} AS statuses,
     {_list_sql('delivery')} AS deliveries FROM kept GROUP BY rfq_id, supplier""")
 def supplier_rollup(t: Inputs) -> DataFrame:
-    return rounded(prof.supplier_rollup(t.chain.kept), "min_price", "avg_price", "max_price")
+    return rounded(prof.supplier_rollup(t.chain.kept), "min_price", "avg_price", "max_price", digits=6)
 
 
 @query("join_unique", f"""SELECT rfq_id, {_list_sql('currency')} AS currencies, {_list_sql('unit')} AS units,
