@@ -93,10 +93,10 @@ ranked AS (
   FROM weighed
   WINDOW before AS (ORDER BY CAST(source_size AS DOUBLE) / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 level AS (
-  SELECT (budget - used) / CAST(left_weight AS DOUBLE) AS lambda, n FROM ranked
+  SELECT (budget - used) / CAST(left_weight AS DOUBLE) AS lam, n FROM ranked
   WHERE weight * ((budget - used) / CAST(left_weight AS DOUBLE)) < cap ORDER BY n LIMIT 1),
 targets AS (
-  SELECT source, source_size, least(CAST(weight AS DOUBLE) * coalesce((SELECT lambda FROM level), 1e300), CAST(cap AS DOUBLE)) AS target
+  SELECT source, source_size, least(CAST(weight AS DOUBLE) * coalesce((SELECT lam FROM level), 1e300), CAST(cap AS DOUBLE)) AS target
   FROM ranked),
 parts AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM targets),
