@@ -5,14 +5,22 @@ only the first rows of each sheet are looked at.
 """
 from __future__ import annotations
 
+import re
+import sys
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bidframe.config import HeaderThresholds
 from bidframe.functions import similarity as sim
-from bidframe.functions.text import clean_text, normalize_header, tokens
-from bidframe.operators.concepts import CONCEPTS, KEYS, PRIORITY, catalogue
+from bidframe.functions.phrases import scores as phrase_scores
+from bidframe.functions.text import clean_text, normalize_header, strip, tokens
+from bidframe.operators.concepts import CONCEPTS, KEYS, PRIORITY, phrases
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SHEET = ["file", "sheet"]
 SAMPLE_ROWS = 100
@@ -65,26 +73,54 @@ def is_derived(normalized: Column) -> Column:
 
 # --- scoring of headers against the catalogue ----------------------------------------
 
-FLOOR = 50.0
-
-
-def alias_scores(headers: DataFrame, floor: float = 0.0, extra=None) -> DataFrame:
-    """Score of every catalogue phrase for each distinct normalized header ``norm``.
-
-    Equal and contained phrases are settled natively. Scores below ``floor`` may come
-    back as 0.
+#: A bonus can lift a score by this much at most, so phrases this close to 100 can tie.
+NEAR_TOP = 100.0 - max(points for points, _ in CONTEXT.values())
+#: Headers scored together.
+SCORED_ROWS = 2_000
+
+
+def _phrase_rows(catalogued: list[tuple[str, str]]):
+    """For each header the phrases that can decide: equal or contained ones, and per concept the
+    first of the best and those near the top."""
+    names = [a for _, a in catalogued]
+    inside = [re.compile(rf"(?:^|\W){re.escape(a)}(?:$|\W)") for a in names]
+    concepts = {}
+    for n, (concept, _) in enumerate(catalogued):
+        concepts.setdefault(concept, []).append(n)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SCORED_ROWS):
+                texts = batch.column(0).slice(at, SCORED_ROWS).to_pylist()
+                base = phrase_scores(texts, names, lambda h, a: sim._phrase_ratio(h, a, 0.0))
+                keep = base >= NEAR_TOP
+                for i, h in enumerate(texts):
+                    for n, a in enumerate(names):
+                        if a in h and (h == a or inside[n].search(h)):
+                            base[i, n] = 100.0 if h == a else min(97.0, 88.0 + len(a) / len(h) * 9.0)
+                            keep[i, n] = True
+                for own in concepts.values():
+                    keep[np.arange(len(texts)), np.array(own)[base[:, own].argmax(1)]] = True
+                row, n = np.nonzero(keep)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([texts[i] for i in row], pa.string()), pa.array(n, pa.int32()),
+                     pa.array([catalogued[j][0] for j in n], pa.string()),
+                     pa.array([names[j] for j in n], pa.string()), pa.array(base[row, n], pa.float64())],
+                    ["norm", "n", "concept", "alias", "base"])
+
+    return run
+
+
+def alias_scores(headers: DataFrame, extra=None) -> DataFrame:
+    """Scores of the catalogue phrases for each distinct normalized header ``norm``.
+
+    Phrases that neither equal nor stand in the header nor can be the best of their concept
+    are left out. Headers are dealt out by hash, so the work is spread however few bytes
+    they take.
     """
-    h, a = F.col("norm"), F.col("alias")
-    pairs = headers.select("norm").distinct().withColumn("c", F.explode(catalogue(extra))).select(
-        "norm", F.col("c.n").alias("n"), F.col("c.concept").alias("concept"),
-        F.col("c.alias").alias("alias"))
-    quoted = F.concat(F.lit(r"(^|[^\p{L}\p{N}_])\Q"), a, F.lit(r"\E($|[^\p{L}\p{N}_])"))
-    settled = (F.when(h == a, 100.0)
-               .when(h.contains(a) & F.rlike(h, quoted),
-                     F.least(F.lit(97.0), 88.0 + F.length(a) / F.length(h) * 9.0)))
-    fuzzy = sim.phrase_ratio(F.when(F.col("settled").isNull(), h), a, F.lit(floor))
-    return (pairs.withColumn("settled", settled)
-            .withColumn("base", F.coalesce("settled", fuzzy)).drop("settled"))
+    parts = int(headers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (headers.select("norm").distinct().repartition(parts, "norm").mapInArrow(
+        _phrase_rows(phrases(extra)), "norm string, n int, concept string, alias string, base double"))
 
 
 def context_flags(headers: DataFrame, keys: list[str]) -> DataFrame:
@@ -98,13 +134,13 @@ def context_flags(headers: DataFrame, keys: list[str]) -> DataFrame:
 FLAGS = [f"ctx_{k}" for k in CONTEXT]
 
 
-def concept_scores(headers: DataFrame, floor: float = 0.0, extra=None) -> DataFrame:
+def concept_scores(headers: DataFrame, extra=None) -> DataFrame:
     """Best phrase per concept for each distinct (norm, context flags) combination."""
     combos = headers.select("norm", *FLAGS).distinct()
     bonus = F.lit(0.0)
     for key, (points, _) in CONTEXT.items():
         bonus = F.when((F.col("concept") == key) & F.col(f"ctx_{key}"), float(points)).otherwise(bonus)
-    scored = combos.join(alias_scores(headers, floor, extra), "norm").withColumn(
+    scored = combos.join(alias_scores(headers, extra), "norm").withColumn(
         "s", F.least(F.col("base") + bonus, F.lit(100.0)))
     best = scored.groupBy("norm", *FLAGS, "concept").agg(
         F.max("s").alias("score"),
@@ -128,13 +164,13 @@ def confidence(score: Column, th: HeaderThresholds) -> Column:
 
 
 def classify(headers: DataFrame, th: HeaderThresholds = HeaderThresholds(),
-             floor: float = 0.0, extra=None) -> DataFrame:
+             extra=None) -> DataFrame:
     """Concept of each distinct (norm, context flags) combination.
 
     No concept where the best score is low, or middling with a close runner-up, or the
     header is one of our own result columns. An exact phrase always wins.
     """
-    top = rank_candidates(concept_scores(headers, floor, extra), 2)
+    top = rank_candidates(concept_scores(headers, extra), 2)
     first, second = F.col("place") == 1, F.col("place") == 2
     best = top.groupBy("norm", *FLAGS).agg(
         F.max(F.when(first, F.struct("concept", "score", "alias"))).alias("b"),
@@ -156,17 +192,17 @@ def classify(headers: DataFrame, th: HeaderThresholds = HeaderThresholds(),
 
 def exact_phrases(spark, extra=None) -> DataFrame:
     """Phrase → concept and the leading phrase of that concept."""
-    return (spark.range(1).select(F.explode(catalogue(extra)).alias("c"))
-            .select(F.col("c.alias").alias("norm"), F.col("c.concept").alias("exact"),
-                    F.first("c.alias").over(Window.partitionBy("c.concept").orderBy("c.n"))
-                    .alias("first_alias")))
+    rows = phrases(extra)
+    first = {concept: alias for concept, alias in reversed(rows)}
+    return spark.createDataFrame([(alias, concept, first[concept]) for concept, alias in rows],
+                                 "norm string, exact string, first_alias string")
 
 
 def explain(headers: DataFrame, th: HeaderThresholds = HeaderThresholds(), extra=None) -> DataFrame:
     """Best match and the five best alternatives of each header."""
-    alternatives = rank_candidates(concept_scores(headers, 0.0, extra), 5).groupBy("norm", *FLAGS).agg(
+    alternatives = rank_candidates(concept_scores(headers, extra), 5).groupBy("norm", *FLAGS).agg(
         F.array_sort(F.collect_list(F.struct("place", "concept", "score", "alias"))).alias("alternatives"))
-    return classify(headers, th, 0.0, extra).join(alternatives, ["norm", *FLAGS])
+    return classify(headers, th, extra).join(alternatives, ["norm", *FLAGS])
 
 
 def no_context(df: DataFrame) -> DataFrame:
@@ -176,14 +212,17 @@ def no_context(df: DataFrame) -> DataFrame:
 # --- header row, data start, columns -------------------------------------------------
 
 
-def find_header_row(cells: DataFrame, th: HeaderThresholds = HeaderThresholds()) -> DataFrame:
+def find_header_row(cells: DataFrame, th: HeaderThresholds = HeaderThresholds(),
+                    header_rows: int = HEADER_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Header row of each sheet with its score; sheets without a sign get row 0."""
-    sample = sample_cells(cells)
+    sample = sample_cells(cells, sample_rows)
     width = sample.groupBy(*SHEET).agg((F.max("col_idx") + 1).alias("width"))
-    filled = (sample.where(F.col("row_idx") < HEADER_ROWS)
+    filled = (sample.where(F.col("row_idx") < header_rows)
               .withColumn("header", clean_text(F.col("value"))).where(F.col("header").isNotNull())
               .withColumn("norm", normalize_header(F.col("header"))))
-    concepts = classify(no_context(filled), th, FLOOR).select("norm", "concept", "confidence")
+    # A plain number shares at most a dot with one phrase: 48 points, so it names no concept.
+    words = filled if th.low <= 50 else filled.where(~F.col("norm").rlike(r"^[0-9]+(\.[0-9]+)?$"))
+    concepts = classify(no_context(words), th).select("norm", "concept", "confidence")
     digits = F.replace(F.regexp_replace("value", r"[^0-9,.\-]", ""), F.lit(","), F.lit("."))
     rows = (filled.withColumn("numeric", digits.try_cast("double").isNotNull())
             .join(concepts, "norm", "left").groupBy(*SHEET, "row_idx").agg(
@@ -256,7 +295,7 @@ def column_profile(cells: DataFrame, header_rows: DataFrame) -> DataFrame:
     body = (sample_cells(cells).where(F.col("value").isNotNull())
             .join(header_rows.select(*SHEET, "header_row"), SHEET)
             .where(F.col("row_idx") > F.col("header_row"))
-            .withColumn("text", F.trim("value"))
+            .withColumn("text", strip(F.col("value")))
             .withColumn("number", loose_number(F.col("text")))
             .withColumn("unit", F.regexp_replace(F.lower("text"), r"\.+$", "")))
     number, n = F.col("number"), F.count(F.lit(1))
@@ -321,7 +360,7 @@ def infer_concept(evidence: DataFrame) -> DataFrame:
 def detect_columns(headers: DataFrame, profile: DataFrame,
                    th: HeaderThresholds = HeaderThresholds(), extra=None) -> DataFrame:
     """Concept of every column from its header, or from its content where that is weak."""
-    by_header = headers.join(classify(headers, th, 0.0, extra), ["norm", *FLAGS])
+    by_header = headers.join(classify(headers, th, extra), ["norm", *FLAGS])
     facts = infer_concept(evidence_scores(profile))
     out = by_header.join(facts, [*SHEET, "col_idx"], "left")
     points = reduce(lambda acc, c: acc.when(F.col("concept") == c, F.col(f"ev_{c}")), EVIDENCE[1:],
@@ -358,7 +397,7 @@ def suppliers_in_headers(headers: DataFrame) -> DataFrame:
     """Supplier names written in front of a price or quantity header."""
     pattern = (r"(?i)(?U)^(.+?)\s*(?:-|–|—|\||:)\s*(?:preco|preço|valor|price|unit price|rate|"
                r"quantidade|qtd|quantity|unidade|unit|descricao|descrição|description)\b")
-    name = F.btrim(F.regexp_extract(F.trim("header"), pattern, 1), F.lit(" -–—|_:"))
+    name = F.btrim(F.regexp_extract(strip(F.col("header")), pattern, 1), F.lit(" -–—|_:"))
     return headers.select(*SHEET, name.alias("supplier")).where("supplier <> ''").distinct()
 
 

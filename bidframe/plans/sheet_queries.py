@@ -112,6 +112,12 @@ def scan_cells(t: Inputs) -> DataFrame:
     return sm.sample_cells(Sheets(t).cells)
 
 
+@query("sheet_grid", "SELECT file, sheet, row_idx, col_idx, value FROM sheet_cells")
+def sheet_grid(t: Inputs) -> DataFrame:
+    """All cells of all sheets; scan_cells shows the part that the detection reads."""
+    return Sheets(t).cells
+
+
 @query("project_concepts")
 def project_concepts(t: Inputs) -> DataFrame:
     s = Sheets(t)
@@ -157,9 +163,9 @@ def concept_catalog(t: Inputs) -> DataFrame:
             .withColumn("uses", F.coalesce("uses", F.lit(0))))
 
 
-@query("normalize_header", f"SELECT DISTINCT value, {header_norm('value')} AS normalized FROM sheet_cells WHERE row_idx < 3 AND value IS NOT NULL")
+@query("normalize_header", f"SELECT DISTINCT value, {header_norm('value')} AS normalized FROM sheet_cells WHERE value IS NOT NULL")
 def normalize_header(t: Inputs) -> DataFrame:
-    top = Sheets(t).cells.where("row_idx < 3 AND value IS NOT NULL").select("value").distinct()
+    top = Sheets(t).cells.where("value IS NOT NULL").select("value").distinct()
     return top.withColumn("normalized", sm.normalize_header(F.col("value")))
 
 
@@ -191,6 +197,7 @@ def score_alias(t: Inputs) -> DataFrame:
 
 @query("header_scores")
 def header_scores(t: Inputs) -> DataFrame:
+    """The phrases that can decide a header: equal, contained, or the best of their concept."""
     return rounded(sm.alias_scores(Sheets(t).headers).select(
         "norm", "concept", "alias", F.col("base").alias("score")), "score")
 
@@ -205,8 +212,8 @@ def rank_candidates(t: Inputs) -> DataFrame:
     return sm.rank_candidates(sm.concept_scores(Sheets(t).headers)).drop("n")
 
 
-@query("classify_header", """SELECT file, sheet, col_idx, header, CASE WHEN layout = 5 THEN NULL ELSE concept END AS concept,
-    CASE WHEN concept IS NULL OR layout = 5 THEN 'NONE' WHEN score >= 92 THEN 'HIGH' WHEN score >= 78 THEN 'MEDIUM' ELSE 'LOW' END AS confidence
+@query("classify_header", """SELECT file, sheet, col_idx, header, concept,
+    CASE WHEN concept IS NULL THEN 'NONE' WHEN score >= 92 THEN 'HIGH' WHEN score >= 78 THEN 'MEDIUM' ELSE 'LOW' END AS confidence
     FROM head_class WHERE layout <> 3""")
 def classify_header(t: Inputs) -> DataFrame:
     """Concept per column by header alone; positional sheets are left to generic_layout."""

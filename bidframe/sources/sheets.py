@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Header styles by layout number; layout 3 is positional, 5 says nothing at all.
+# Header styles by layout number; layout 3 is positional, 5 names description and price only.
 HEADERS = (
     ("ID do item", "Descrição", "Quantidade", "Unidade", "Fornecedor", "Preço Unitário",
      "Preço Total", "Condições de Entrega", "Dias Pagamento", "Frete", "Pedido Mínimo", "Observação"),
@@ -22,7 +22,7 @@ HEADERS = (
     ("ID", "Descrição do produto cotado", "Qtde", "Und", "Nome do Fornecedor (empresa)",
      "Valor unitário em reais", "Total geral da linha", "Prazo de entrega", "Pagamento", "Frete",
      "Pedido mínimo", "Fornecedor X - Preço"),
-    ("Z1", "Z2", "Z3", "Z4", "Z5", "Z6", "Z7", "Z8", "Z9", "Z10", "Z11", "Z12"),
+    ("Jj", "Descrição", "Jjj", "Jjjj", "Jjjjj", "Preço", "Jjjjjj", "Jjjjjjj", "Jjjjjjjj", "Jjjjjjjjj", "Jjjjjjjjjj", "Jjjjjjjjjjj"),
 )
 HEADER_ROW = (0, 0, 0, 2, 1, 0)
 FIRST_ROW = (1, 1, 1, 3, 3, 1)
