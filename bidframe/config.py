@@ -31,14 +31,12 @@ class EngineConfig:
 class SkewPolicy:
     """When a group counts as hot and into how many parts it is split.
 
-    At most ``hot_limit`` groups are listed, so the list is small enough to broadcast
-    whatever the input size; a group outside the list holds less than 1/hot_limit of
-    the rows.
+    A group is split into as many parts as it holds ``hot_rows`` rows. Up to ``hot_limit``
+    hot keys are held as a list and broadcast; more of them stay a table that is joined.
     """
 
     hot_rows: int = 1_000_000
     hot_limit: int = 1_000
-    max_ways: int = 512
 
 
 @dataclass(frozen=True)

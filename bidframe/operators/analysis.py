@@ -9,6 +9,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from bidframe.functions.text import strip
+
 from bidframe.functions.numbers import variation_pct
 from bidframe.operators.equalize import DIVERGENT, NOT_QUOTED, not_quoted
 from bidframe.operators.skew import HotGroups, SALT, WAYS, group_extremes, number_rows
@@ -56,7 +58,7 @@ def suppliers_per_rfq(suppliers: DataFrame) -> DataFrame:
 def comparative_map(items: DataFrame, marked: DataFrame, suppliers: DataFrame) -> DataFrame:
     """Per requested item: lowest and highest eligible price, spread, best suppliers."""
     zero = F.lit(0)
-    return (items.select("rfq_id", F.trim("item_id").alias("item_id"), "description",
+    return (items.select("rfq_id", strip(F.col("item_id")).alias("item_id"), "description",
                          "quantity", "unit")
             .join(item_facts(marked), ITEM, "left")
             .join(suppliers_per_rfq(suppliers), "rfq_id", "left")
@@ -74,6 +76,14 @@ def comparative_map_wide(marked: DataFrame, rfq_id: str, names: list[str]) -> Da
             .pivot("supplier", names).agg(F.max(price)))
 
 
+def price_maps(marked: DataFrame) -> DataFrame:
+    """(``rfq_id``, ``item_id``, ``prices``): eligible price by supplier, for all requests."""
+    best = (marked.where("price_eligible").groupBy("rfq_id", "item_id", "supplier")
+            .agg(F.max("unit_price").alias("price")))
+    return best.groupBy("rfq_id", "item_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("supplier", "price"))).alias("prices"))
+
+
 def supplier_summary(items: DataFrame, marked: DataFrame, suppliers: DataFrame) -> DataFrame:
     """Counts, lowest-price share of the quoted items and eligible total per supplier."""
     status = F.col("eq_status")
@@ -154,7 +164,7 @@ def alerts(items: DataFrame, marked: DataFrame, suppliers: DataFrame, cmap: Data
 
     ``suppliers`` carries the commercial indicators of each supplier.
     """
-    asked = items.select("rfq_id", F.trim("item_id").alias("item_id"), "description",
+    asked = items.select("rfq_id", strip(F.col("item_id")).alias("item_id"), "description",
                          "quantity", "unit")
     requested = marked.select("rfq_id", "item_id", "supplier", "eq_status",
                               F.col("req_description").alias("description"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from bidframe.config import EngineConfig
 from bidframe.functions import similarity as sim
 from bidframe.functions.numbers import is_close
-from bidframe.functions.text import add_normalized, extract_attributes, tokens
+from bidframe.functions.text import add_normalized, extract_attributes, strip, tokens
 from bidframe.operators.skew import (HotGroups, SALT, WAYS, copy_rows, salted, spread_join,
                                      spread_rows)
 
@@ -69,7 +69,7 @@ def _prepared(df: DataFrame, prefix: str) -> DataFrame:
     """Everything derived from a text, worked out once per item or quote, before joining."""
     norm, unit = f"{prefix}norm", f"{prefix}unit_norm"
     df = add_normalized(add_normalized(df, "description", norm), "unit", unit)
-    return (df.withColumn("item_id", F.trim("item_id"))
+    return (df.withColumn("item_id", strip(F.col("item_id")))
             .withColumn(f"{prefix}tokens", tokens(F.col(norm)))
             .withColumn(f"{prefix}attrs", extract_attributes(F.col(norm)))
             .drop(norm))
@@ -147,7 +147,7 @@ GRID_COLUMNS = ("rfq_id", "item_id", "supplier", "req_description", "description
 def equalize(items: DataFrame, cells: DataFrame, suppliers: DataFrame,
              hot: HotGroups | None = None) -> DataFrame:
     """The full 15-column grid; cells without a quote are marked as not quoted."""
-    asked = items.select("rfq_id", F.trim("item_id").alias("item_id"),
+    asked = items.select("rfq_id", strip(F.col("item_id")).alias("item_id"),
                          F.col("description").alias("req_description"),
                          F.col("quantity").alias("req_quantity"), F.col("unit").alias("req_unit"))
     offered = cells.select("rfq_id", "item_id", "supplier", "description", "quantity", "unit",
@@ -167,8 +167,8 @@ def equalize(items: DataFrame, cells: DataFrame, suppliers: DataFrame,
 def not_quoted(items: DataFrame, quotes: DataFrame, suppliers: DataFrame,
                hot: HotGroups | None = None) -> DataFrame:
     """Grid cells without any quote."""
-    asked = items.select("rfq_id", F.trim("item_id").alias("item_id"))
-    quoted = quotes.select("rfq_id", F.trim("item_id").alias("item_id"), "supplier")
+    asked = items.select("rfq_id", strip(F.col("item_id")).alias("item_id"))
+    quoted = quotes.select("rfq_id", strip(F.col("item_id")).alias("item_id"), "supplier")
     return quote_grid(asked, suppliers, hot).join(quoted, ["rfq_id", "item_id", "supplier"], "left_anti")
 
 

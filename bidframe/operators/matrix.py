@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bidframe.functions.numbers import parse_locale_number
-from bidframe.functions.text import clean_text
+from bidframe.functions.text import clean_text, strip
 
 SHEET = ["file", "sheet"]
 FIRST_PRICE_COLUMN = 5
@@ -37,7 +37,7 @@ def price_columns(cells: DataFrame, header_rows: DataFrame) -> DataFrame:
     columns = rows.select(*SHEET, "header_row", F.explode(
         F.sequence(F.lit(0), F.col("width") - 1)).alias("col_idx"))
     header = cells.select(*SHEET, F.col("row_idx").alias("header_row"), "col_idx",
-                          F.lower(F.trim("value")).alias("header"))
+                          F.lower(strip(F.col("value"))).alias("header"))
     label = cells.select(*SHEET, (F.col("row_idx") + 1).alias("header_row"), "col_idx",
                          clean_text(F.col("value")).alias("label"))
     keys = [*SHEET, "header_row", "col_idx"]

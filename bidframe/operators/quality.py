@@ -6,7 +6,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bidframe.functions.numbers import is_positive
-from bidframe.functions.text import clean_text
+from bidframe.functions.text import clean_text, strip
 from bidframe.operators.identity import dropped_duplicates
 
 REQUIRED = ("item_id", "description", "unit", "supplier", "quantity", "unit_price")
@@ -130,7 +130,7 @@ VIOLATIONS = {
 
 
 def trimmed(column: str) -> Column:
-    return F.trim(F.coalesce(F.col(column), F.lit("")))
+    return strip(F.coalesce(F.col(column), F.lit("")))
 
 
 def unknown_items(items: DataFrame, quotes: DataFrame) -> DataFrame:

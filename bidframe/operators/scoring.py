@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from bidframe.functions.text import strip
+
 from bidframe.config import EngineConfig
 from bidframe.functions import commercial as com
 from bidframe.functions.numbers import is_close, is_positive
@@ -127,7 +129,7 @@ def reason(best: Column, tied: Column, cfg: EngineConfig) -> Column:
 def recommend(items: DataFrame, scored: DataFrame, cfg: EngineConfig = EngineConfig(),
               hot: HotGroups | None = None) -> DataFrame:
     """One row per requested item with the winning supplier, ties and the reason."""
-    asked = items.select("rfq_id", F.trim("item_id").alias("item_id")).distinct()
+    asked = items.select("rfq_id", strip(F.col("item_id")).alias("item_id")).distinct()
     best = F.col("offers")[0]
     tied = F.coalesce(F.transform("offers", lambda o: o["supplier"]), F.array().cast("array<string>"))
     none = F.col("offers").isNull()

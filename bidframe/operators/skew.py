@@ -2,7 +2,8 @@
 
 A request, an item or a supplier may hold a third of all rows. ``find_hot`` counts the
 rows per key once (a map-side combined aggregate over the key columns alone) and brings
-back at most ``hot_limit`` keys. With none found, every helper here gives the plain plan.
+back at most ``hot_limit`` keys; a longer list stays a table on the cluster and is joined.
+With none found, every helper here gives the plain plan.
 Otherwise the rows of the listed groups get a salt and the rest keep salt 0, so results
 are whole and exact either way.
 """
@@ -26,9 +27,12 @@ class HotGroups:
     policy: SkewPolicy = SkewPolicy()
     rows: tuple[Row, ...] = field(default=(), repr=False)
     schema: StructType | None = None
+    table: DataFrame | None = field(default=None, repr=False, compare=False)
 
     def frame(self, df: DataFrame) -> DataFrame:
-        """Broadcastable table of the hot keys; never longer than ``hot_limit``."""
+        """Table of the hot keys: broadcast up to ``hot_limit``, else a plain join side."""
+        if self.table is not None:
+            return self.table
         return F.broadcast(df.sparkSession.createDataFrame(list(self.rows), self.schema))
 
 
@@ -36,14 +40,14 @@ def find_hot(df: DataFrame, keys: list[str], policy: SkewPolicy = SkewPolicy(),
              rows: Column | None = None) -> HotGroups:
     """List the groups of ``df`` above ``hot_rows`` rows (or above the given sum)."""
     size = F.count(F.lit(1)) if rows is None else F.sum(rows)
-    ways = F.least(F.ceil(F.col("_n") / policy.hot_rows), F.lit(policy.max_ways)).cast("int")
-    found = (df.groupBy(*keys).agg(size.alias("_n"))
-             .where(F.col("_n") > policy.hot_rows)
-             .orderBy(F.desc("_n"), *keys).limit(policy.hot_limit)
+    ways = F.ceil(F.col("_n") / policy.hot_rows).cast("int")
+    found = (df.groupBy(*keys).agg(size.alias("_n")).where(F.col("_n") > policy.hot_rows)
              .select(*keys, ways.alias(WAYS)))
-    return HotGroups(tuple(keys), policy, tuple(found.collect()),
-                     StructType([StructField(f.name, f.dataType) for f in found.schema[:-1]]
-                                + [StructField(WAYS, IntegerType())]))
+    first = found.limit(policy.hot_limit + 1).collect()
+    schema = StructType([StructField(f.name, f.dataType) for f in found.schema[:-1]]
+                        + [StructField(WAYS, IntegerType())])
+    table = found if len(first) > policy.hot_limit else None
+    return HotGroups(tuple(keys), policy, tuple(first), schema, table)
 
 
 def spread_rows(df: DataFrame, hot: HotGroups, by: list[str]) -> DataFrame:

@@ -37,32 +37,6 @@ def load_tables(t: Inputs) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-_GEN = """WITH req AS (SELECT rfq_id, count(*) AS n FROM items GROUP BY rfq_id),
-    p AS (SELECT * FROM (VALUES {rows}) AS v(product, text, unit, base)),
-    g AS (SELECT req.rfq_id, i.i, p.text, p.unit, p.base + (i.i % 5) * 5 AS quantity
-          FROM req JOIN (SELECT unnest(range(0, 10000)) AS i) i ON i.i < req.n
-          JOIN p ON p.product = i.i % 20)""".format(rows=", ".join(
-    f"({i}, '{name}', '{unit}', {tables.DEMO_BASE_QUANTITY[unit]})"
-    for i, (name, unit) in enumerate(tables.DEMO_PRODUCTS)))
-
-
-@query("gen_quotes", _GEN + """ SELECT rfq_id, 'Fornecedor ' || chr(65 + cast(s.j AS integer)) AS supplier,
-    lpad(cast(i + 1 AS varchar), 3, '0') AS item_id,
-    CASE WHEN i % 37 = 0 AND s.j = 1 THEN replace(text, 'escolar', '')
-         WHEN i % 53 = 0 AND s.j = 2 THEN replace(text, 'ponta fina', 'ponta média') ELSE text END AS description,
-    cast(quantity AS double) AS quantity,
-    CASE WHEN i % 61 = 0 AND s.j = 3 AND unit = 'Unidade' THEN 'Caixa' ELSE unit END AS unit,
-    cast(round((5 + (i % 20) * 1.35) * (0.85 + s.j * 0.07) * 100) AS bigint) AS cents
-    FROM g JOIN (SELECT unnest(range(0, 5)) AS j) s ON NOT (i % 47 = 0 AND s.j = 4)""")
-def gen_quotes(t: Inputs) -> DataFrame:
-    """A demonstration quotation as large as each request of the catalogue."""
-    requests = t.items.groupBy("rfq_id").agg(F.count(F.lit(1)).cast("int").alias("n_items"))
-    items = tables.gen_items(requests, tables.demo_products(t.spark))
-    return (tables.gen_quotes(items)
-            .withColumn("cents", F.round(F.col("unit_price") * 100).cast("bigint"))
-            .drop("unit_price"))
-
-
 @query("to_json_records")
 def to_json_records(t: Inputs) -> DataFrame:
     return sinks.to_json_records(
@@ -208,21 +182,6 @@ def _text_pairs(t: Inputs) -> DataFrame:
     return pairs.withColumn("ta", text.tokens(F.col("a"))).withColumn("tb", text.tokens(F.col("b")))
 
 
-# Longest common subsequence in SQL: the row of the dynamic programme after each
-# character of the left text; row[j] = max(old[j], best match ending at or before j).
-_LCS = """lcs AS (
-    SELECT a, b, 0 AS i, list_transform(range(0, length(b)), lambda j: 0) AS r FROM todo
-    UNION ALL
-    SELECT a, b, i + 1, list_transform(range(1, length(b) + 1), lambda j: greatest(r[j],
-        coalesce(list_max(list_transform(list_filter(range(1, j + 1),
-            lambda k: substr(b, k, 1) = substr(a, i + 1, 1)),
-            lambda k: 1 + CASE WHEN k = 1 THEN 0 ELSE r[k - 1] END)), 0)))
-    FROM lcs WHERE i < length(a)),
-    lcs_len AS (SELECT a, b, coalesce(r[length(b)], 0) AS n FROM lcs WHERE i = length(a))"""
-
-_NORM_PAIRS = f"""np AS (SELECT req_description, description, {norm_sql('req_description')} AS na,
-        {norm_sql('description')} AS nb FROM (SELECT DISTINCT req_description, description FROM lines))"""
-
 
 @query("indel_ratio")
 def indel_ratio(t: Inputs) -> DataFrame:
@@ -659,14 +618,14 @@ def comparative_map(t: Inputs) -> DataFrame:
     return rounded(out, "min_price", "max_price", "spread_pct")
 
 
-@query("comparative_map_wide")
+@query("comparative_map_wide", """SELECT rfq_id, item_id, string_agg(supplier || '=' || cents, '; ' ORDER BY supplier) AS prices
+    FROM (SELECT rfq_id, item_id, supplier, cast(round(max(unit_price) * 100) AS bigint) AS cents FROM cells
+          WHERE price_eligible GROUP BY rfq_id, item_id, supplier) GROUP BY rfq_id, item_id""")
 def comparative_map_wide(t: Inputs) -> DataFrame:
-    """Wide prices of the request with the most items."""
-    sizes = t.items.groupBy("rfq_id").agg(F.count(F.lit(1)).alias("n"))
-    rfq = sizes.orderBy(F.desc("n"), "rfq_id").first()["rfq_id"]
-    names = [r["supplier"] for r in t.chain.suppliers.where(F.col("rfq_id") == rfq)
-             .select("supplier").distinct().orderBy("supplier").limit(10000).collect()]
-    return analysis.comparative_map_wide(t.marked, rfq, names)
+    """Eligible prices of every request as one map for each item, shown as text in cents."""
+    entry = lambda e: F.concat_ws("=", e["key"], F.round(e["value"] * 100).cast("bigint").cast("string"))
+    return analysis.price_maps(t.marked).select("rfq_id", "item_id", F.array_join(
+        F.transform(F.array_sort(F.map_entries("prices")), entry), "; ").alias("prices"))
 
 
 @query("supplier_summary", """SELECT rfq_id, supplier, quoted, not_quoted, equivalent, divergent, eligible_prices,
@@ -847,9 +806,11 @@ _KPI_NAMES = ("items", "items_with_price", "items_without_price", "items_diverge
 
 
 @query("kpi_rows", " UNION ALL ".join(
-    f"SELECT rfq_id, '{n}' AS indicator, cast({n} AS varchar) AS value FROM figures" for n in _KPI_NAMES))
+    [f"SELECT rfq_id, '{n}' AS indicator, cast({n} AS varchar) AS value FROM figures" for n in _KPI_NAMES]
+    + ["SELECT rfq_id, 'max_spread_pct', cast(round(max_spread_pct, 2) AS varchar) FROM figures"]))
 def kpi_rows(t: Inputs) -> DataFrame:
-    return views.kpi_rows(analysis.kpis(t.cmap, t.summary).select("rfq_id", *_KPI_NAMES))
+    return views.kpi_rows(rounded(analysis.kpis(t.cmap, t.summary), "max_spread_pct", digits=2)
+                          .select("rfq_id", *_KPI_NAMES, "max_spread_pct"))
 
 
 @query("severity_band", """SELECT rfq_id, item_id, supplier,

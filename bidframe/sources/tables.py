@@ -1,4 +1,4 @@
-"""Table inputs: scans, nested quotations, synthetic requests and submissions."""
+"""Table inputs: scans, nested quotations and submissions."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -37,68 +37,6 @@ def flatten_quotations(nested: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-# The 20 demonstration products and the quantity base of each unit.
-DEMO_PRODUCTS = (
-    ("Caneta azul ponta fina", "Caixa"), ("Caneta preta ponta fina", "Caixa"),
-    ("Papel A4 75g", "Caixa"), ("Papel A4 90g", "Caixa"), ("Grampeador médio", "Unidade"),
-    ("Pasta suspensa", "Unidade"), ("Lápis preto HB", "Caixa"),
-    ("Borracha branca escolar", "Unidade"), ("Marcador permanente preto", "Unidade"),
-    ("Clips galvanizado nº 2", "Caixa"), ("Envelope pardo A4", "Pacote"),
-    ("Tesoura escolar 21cm", "Unidade"), ("Caderno universitário", "Unidade"),
-    ("Pasta catálogo", "Unidade"), ("Régua 30cm", "Unidade"), ("Cola branca 90g", "Unidade"),
-    ("Fita adesiva transparente", "Unidade"), ("Corretivo líquido", "Unidade"),
-    ("Apontador plástico", "Unidade"), ("Calculadora de mesa", "Unidade"),
-)
-DEMO_BASE_QUANTITY = {"Caixa": 10, "Unidade": 20, "Pacote": 10}
-
-
-def demo_products(spark: SparkSession) -> DataFrame:
-    rows = [(i, name, unit, DEMO_BASE_QUANTITY[unit]) for i, (name, unit) in enumerate(DEMO_PRODUCTS)]
-    return spark.createDataFrame(rows, "product int, description string, unit string, base int")
-
-
-def gen_items(requests: DataFrame, products: DataFrame) -> DataFrame:
-    """Demonstration items for each (``rfq_id``, ``n_items``) row."""
-    i = F.col("i")
-    return (requests.select("rfq_id", F.explode(F.sequence(F.lit(0), F.col("n_items") - 1)).alias("i"))
-            .withColumn("product", (i % len(DEMO_PRODUCTS)).cast("int"))
-            .join(F.broadcast(products), "product")
-            .select("rfq_id", "i", F.lpad((i + 1).cast("string"), 3, "0").alias("item_id"),
-                    "description", (F.col("base") + (i % 5) * 5).cast("double").alias("quantity"),
-                    "unit"))
-
-
-def gen_quotes(items: DataFrame, n_suppliers: int = 5) -> DataFrame:
-    """Demonstration quotes: every supplier prices every item, with fixed deviations."""
-    i, j = F.col("i"), F.col("j")
-    text, unit = F.col("description"), F.col("unit")
-    price = (5 + (i % 20) * 1.35) * (0.85 + j * 0.07)
-    rows = (items.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_suppliers - 1))))
-            .where(~((i % 47 == 0) & (j == 4))))
-    return rows.select(
-        "rfq_id", F.concat(F.lit("Fornecedor "), F.char(F.lit(65) + j)).alias("supplier"), "item_id",
-        F.when((i % 37 == 0) & (j == 1), F.replace(text, F.lit("escolar"), F.lit("")))
-        .when((i % 53 == 0) & (j == 2), F.replace(text, F.lit("ponta fina"), F.lit("ponta média")))
-        .otherwise(text).alias("description"),
-        "quantity",
-        F.when((i % 61 == 0) & (j == 3) & (unit == "Unidade"), "Caixa").otherwise(unit).alias("unit"),
-        F.round(price, 2).alias("unit_price"))
-
-
-def gen_terms(requests: DataFrame, n_suppliers: int = 5) -> DataFrame:
-    j = F.col("j")
-
-    def days(first, step):
-        return F.concat((F.lit(first) + j * step).cast("string"), F.lit(" dias"))
-
-    return (requests.select("rfq_id", F.explode(F.sequence(F.lit(0), F.lit(n_suppliers - 1))).alias("j"))
-            .select("rfq_id", F.concat(F.lit("Fornecedor "), F.char(F.lit(65) + j)).alias("supplier"),
-                    days(30, 15).alias("payment"), days(5, 2).alias("delivery"),
-                    F.when(j % 2 == 0, "Sem mínimo").otherwise("5 caixas").alias("min_order"),
-                    F.when(j < 2, "Incluso").otherwise("Não incluso").alias("freight"),
-                    days(30, 5).alias("validity"), F.lit(None).cast("string").alias("observation")))
-
-
 def submission_digest(content: str, sheet: str):
     """Hash that identifies one content together with one sheet choice."""
     return F.sha2(F.concat(F.col(content), F.lit("\x00"), F.coalesce(F.col(sheet), F.lit(""))), 256)
