@@ -15,6 +15,8 @@ from bidframe.llm.common import rows_of, texts
 SAMPLE_ROWS, VOCABULARY, GRADES = 8_000, 256, 3
 #: Texts, and share of the texts of either label, that must hold a word for it to be kept.
 LEAST_TEXTS, LEAST_SHARE = 5, 0.01
+#: Least size of the z-score of a word; below that the shares may differ by chance.
+LEAST_Z = 4.0
 
 _WORD = re.compile(r"\w+")
 
@@ -124,7 +126,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     pooled = (F.col("toxic") + F.col("other") + 1) / (totals.toxic + totals.other + 2)
     z = (a - b) / F.sqrt(pooled * (1 - pooled) * (1 / totals.toxic + 1 / totals.other))
     ranked = (counts.where("word is not null").where(F.greatest(a, b) >= LEAST_SHARE).select("word", z.alias("z"))
+              .where(F.abs("z") >= LEAST_Z)
               .orderBy(F.desc(F.abs("z")), "word").limit(VOCABULARY).collect())
+    if not ranked:
+        return Ordinal({}, np.zeros(0), np.full(GRADES, 40.0))
     model = Ordinal({r.word: i for i, r in enumerate(ranked)}, np.zeros(len(ranked)), np.zeros(GRADES))
 
     def vectors(batches):
