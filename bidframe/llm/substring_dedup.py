@@ -1,4 +1,4 @@
-"""Substring deduplication by line hashing."""
+"""Substring deduplication by hashing of lines and the sentences they hold."""
 from __future__ import annotations
 
 import hashlib
@@ -13,6 +13,13 @@ from bidframe.llm.common import cut, rows_of, shares
 _SPACE = re.compile(r"\s+")
 UNITS = "doc_id bigint, unit bigint, start bigint, stop bigint, words bigint, d1 bigint, d2 bigint"
 
+#: Units end at line breaks and after the stop of a sentence, since passages also stand within lines.
+SPLIT = r"\n|(?<=[.!?])\s+"
+#: Words of an unbroken row of repeated units that make a passage: half of the 50 that a shared
+#: passage has, as its first and last sentence may have grown together with their surroundings.
+PASSAGE_WORDS = 25
+
+
 def normalise(unit: str) -> str:
     """Lower case, runs of white space as one blank, none at the ends."""
     return _SPACE.sub(" ", unit.lower()).strip()
@@ -44,11 +51,11 @@ def _units(split: str):
     return run
 
 
-def repeated_units(docs: DataFrame, split: str = r"\n", min_words: int = 50, id_col: str = "doc_id",
+def repeated_units(docs: DataFrame, split: str = SPLIT, min_words: int = PASSAGE_WORDS, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
     """Units to remove: every occurrence but the earliest of its digest, with original offsets.
 
-    A text is cut at ``split`` (lines by default) into units; those without any character
+    A text is cut at ``split`` (lines and sentences by default) into units; those without any character
     after normalising are no units. The earliest occurrence is that of the smallest id, then
     of the smallest place in the text. Of the others those go that stand in an unbroken row
     of repeated units with ``min_words`` words or more in all, so that a long passage goes
