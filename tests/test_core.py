@@ -8,8 +8,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from bidframe.config import EngineConfig, SkewPolicy  # noqa: E402
 from bidframe.functions import commercial, numbers, similarity, text  # noqa: E402
+from bidframe.functions.phrases import scores as phrase_scores  # noqa: E402
 from bidframe.operators.concepts import phrases  # noqa: E402
-from bidframe.operators.skew import find_hot, number_rows  # noqa: E402
+from bidframe.operators.skew import find_hot, number_rows, spread_join  # noqa: E402
 from bidframe.operators.identity import no_hot  # noqa: E402
 
 
@@ -65,3 +66,30 @@ def test_numbering_splits_hot_groups(spark):
     plain = number_rows(rows, no_hot("g"), [F.col("v")], "n")
     split = number_rows(rows, hot, [F.col("v")], "n").select(*plain.columns)
     assert plain.exceptAll(split).isEmpty() and split.exceptAll(plain).isEmpty()
+
+
+def test_phrase_scores_equal_pairwise_measure():
+    names = [alias for _, alias in phrases()]
+    texts = ["", ".", "1.5", "id", "preco unitario r$", "prazo de entrega dias", "x" * 80, "un", "unit pric", "cod cotacao final",
+             "dias pagamento a vista ou boleto bancario em ate trinta dias corridos do recebimento"]
+    got = phrase_scores(texts, names, lambda h, a: similarity._phrase_ratio(h, a, 0.0))
+    for i, h in enumerate(texts):
+        for j, a in enumerate(names):
+            assert got[i, j] == pytest.approx(similarity._phrase_ratio(h, a, 0.0), abs=1e-9), (h, a)
+
+
+def test_phrases_keep_their_order():
+    own = [alias for concept, alias in phrases() if concept == "SUPPLIER_ID"]
+    assert own == ["id fornecedor", "id do fornecedor", "codigo fornecedor", "cod fornecedor", "supplier id", "vendor id",
+                   "supplier code", "vendor code"]
+    assert len(phrases()) == len({alias for _, alias in phrases()})
+    assert ("UNIT", "unidade base") in phrases({"UNIT": [" Únidade-Base "]})
+
+
+def test_more_hot_groups_than_the_list_holds(spark):
+    rows = spark.range(400).select((F.col("id") % 20).alias("g"), F.col("id").alias("n"))
+    small = spark.range(20).select(F.col("id").alias("g"), (F.col("id") * 10).alias("v"))
+    hot = find_hot(rows, ["g"], SkewPolicy(hot_rows=5, hot_limit=3))
+    assert hot.table is not None
+    got = spread_join(rows, small, hot, ["n"], "inner")
+    assert sorted((r.g, r.n, r.v) for r in got.collect()) == sorted((n % 20, n, n % 20 * 10) for n in range(400))
