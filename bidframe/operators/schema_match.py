@@ -15,8 +15,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bidframe.config import HeaderThresholds
-from bidframe.functions import similarity as sim
 from bidframe.functions.phrases import scores as phrase_scores
+from bidframe.functions.similarity import _phrase_ratio as pair_ratio
 from bidframe.functions.text import clean_text, normalize_header, strip, tokens
 from bidframe.operators.concepts import CONCEPTS, KEYS, PRIORITY, phrases
 
@@ -92,7 +92,7 @@ def _phrase_rows(catalogued: list[tuple[str, str]]):
         for batch in batches:
             for at in range(0, batch.num_rows, SCORED_ROWS):
                 texts = batch.column(0).slice(at, SCORED_ROWS).to_pylist()
-                base = phrase_scores(texts, names, lambda h, a: sim._phrase_ratio(h, a, 0.0))
+                base = phrase_scores(texts, names, lambda h, a: pair_ratio(h, a, 0.0))
                 keep = base >= NEAR_TOP
                 for i, h in enumerate(texts):
                     for n, a in enumerate(names):
