@@ -6,7 +6,8 @@ the first level are therefore the one-shingle sets {s}. A document of n shingles
 1 - 1/n from its own shingles and at 1 from all others; of the equal nearest ones the rarest
 shingle decides, and names its home region. Documents within distance 1 - t share at least
 t * n shingles, so at most n - ceil(t * n) shingles of either can miss the other: replicated
-to the regions of its n - ceil(t * n) + 1 rarest shingles, each meets all its partners.
+to the regions of its n - ceil(t * n) + w rarest shingles, each meets all its partners in w
+regions or more (w is 3, or less for low t), which chance neighbours hardly do.
 
 Inside a region documents are the pivots: all members are measured against the first one,
 what links is one component, and only members of different components go on. These meet
@@ -14,6 +15,8 @@ within windows: |d(x, p) - d(y, p)| <= 1 - t for the pivots p measured so far.
 """
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -27,6 +30,8 @@ WORD_BUCKETS, HEAVY = 1 << 16, 1 << 16
 SUMMARY_STEP = 2_000_000
 #: Members up to which a region lists its open pairs; rows of a block beyond that.
 SMALL_REGION, BLOCK_ROWS = 48, 1_000
+#: Pairs that a task sums up before it hands them on.
+PAIRS_HELD = 200_000
 #: Bits of the filter that says which documents' sets are needed.
 FILTER_BITS = 1 << 24
 
@@ -140,13 +145,18 @@ class Rank:
             expected = np.full(len(found), self.log_total)
             for j in range(k):
                 expected = expected + share[first + j]
-            level = np.maximum(np.floor(expected), 0).astype(np.int64)
+            level = np.floor(expected).astype(np.int64)
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
-            level = np.maximum(level, np.where(self.keys[at] == found, self.levels[at], 0))
+            level = np.where(self.keys[at] == found, np.maximum(level, self.levels[at]), level)
         return found[np.lexsort((found, level))[:size]]
 
 
+def meetings(percent: int) -> int:
+    """Regions in which similar documents must meet; sets that differ share percent / (100 - percent) shingles."""
+    return 3 if percent >= 100 else max(1, min(3, percent // (100 - percent)))
+
+
 def _windows(rank: Rank, k: int, percent: int):
     def run(batches):
         cache = _Words()
@@ -160,7 +170,7 @@ def _windows(rank: Rank, k: int, percent: int):
                     h1.append(_signed(found.sum(dtype=np.uint64, keepdims=True))[0])
                     h2.append(_signed(_mix(found ^ _P).sum(dtype=np.uint64, keepdims=True))[0])
                 least = -(-percent * len(found) // 100)
-                windows.append(_signed(rank.window(words, found, first, k, len(found) - least + 1)) if len(found) else [])
+                windows.append(_signed(rank.window(words, found, first, k, len(found) - least + meetings(percent))) if len(found) else [])
             yield rows_of({"doc_id": (pa.int64(), batch.column(0)), "n": (pa.int64(), n), "h1": (pa.int64(), h1),
                            "h2": (pa.int64(), h2), "window": (pa.list_(pa.int64()), windows)})
 
@@ -173,7 +183,7 @@ def _places(ids: np.ndarray) -> list[np.ndarray]:
 
 
 def _filter(ids: DataFrame) -> np.ndarray:
-    """Bits of all ``x``: a fixed size, whatever their number; too many ids only make it let more pass."""
+    """Bits of the ids in the one column: a fixed size, whatever their number; too many ids only make it let more pass."""
 
     def run(batches):
         for batch in batches:
@@ -181,7 +191,7 @@ def _filter(ids: DataFrame) -> np.ndarray:
             yield rows_of({"byte": (pa.int64(), at >> 6), "bits": (pa.int64(), np.left_shift(np.int64(1), at & 63))})
 
     bits = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in ids.select("x").mapInArrow(run, "byte bigint, bits bigint").groupBy("byte").agg(F.bit_or("bits").alias("bits")).collect():
+    for r in ids.mapInArrow(run, "byte bigint, bits bigint").groupBy("byte").agg(F.bit_or("bits").alias("bits")).collect():
         bits[r.byte] = r.bits
     return bits
 
@@ -207,32 +217,52 @@ def _near(a, b, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _sets_of(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(``id``, ``shingles``) of at least the documents in ``ids``, made again from their texts."""
+    return cut(texts.where("doc_id is not null").mapInArrow(_sets(_filter(ids), k), "id bigint, shingles array<bigint>"))
+
+
+def _checked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (``u``, ``v``) whose sets are similar enough, exactly."""
+    pairs = cut(pairs)
+    if pairs.isEmpty():
+        return pairs
+    sets = _sets_of(texts, pairs.select("u").union(pairs.select("v")), k)
     left = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u")
     both = left.join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
     overlap = F.size(F.array_intersect("a", "b"))
     union = F.size("a") + F.size("b") - overlap
-    return both.where(100 * overlap >= percent * union).select("u", "v").distinct()
+    return cut(both.where(100 * overlap >= percent * union).select("u", "v").distinct())
 
 
 def _pairs(percent: int):
-    """Open pairs of small regions: different components, sizes that can match."""
+    """Open pairs of small regions (different components, sizes that can match) and in how many they meet.
+
+    The regions of a family share most pairs, so the meetings are summed here before they travel.
+    """
 
     def run(batches):
+        seen: Counter = Counter()
         for batch in batches:
-            us, vs = [], []
-            for members in batch.column(0):
-                rows = [(m["x"], m["n"], m["component"]) for m in members.as_py()]
+            for members, regions in zip(batch.column(0), batch.column(1).to_pylist()):
+                rows = sorted((m["x"], m["n"], m["component"]) for m in members.as_py())
                 for i, (x, n, c) in enumerate(rows):
                     for y, m, d in rows[:i]:
                         if c != d and x != y and 100 * min(n, m) >= percent * max(n, m):
-                            us.append(min(x, y)), vs.append(max(x, y))
-            yield rows_of({"u": (pa.int64(), us), "v": (pa.int64(), vs)})
+                            seen[y, x] += regions
+            if len(seen) > PAIRS_HELD:
+                yield _pair_rows(seen)
+                seen.clear()
+        yield _pair_rows(seen)
 
     return run
 
 
+def _pair_rows(seen: Counter) -> pa.RecordBatch:
+    return rows_of({"u": (pa.int64(), [u for u, _ in seen]), "v": (pa.int64(), [v for _, v in seen]),
+                    "times": (pa.int64(), list(seen.values()))})
+
+
 def join_blocks(a: list, b: list | None, percent: int) -> list[tuple[int, int]]:
     """Links between members (id, component, sorted shingles) of two blocks, or within one; a forest of them.
 
@@ -274,7 +304,7 @@ def _open_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(key, table):
         sides = {}
         for side, x, c, found in zip(*(table.column(n).to_pylist() for n in ("own", "x", "component", "shingles"))):
-            sides.setdefault(side, []).append((x, c, np.array(found, np.int64)))
+            sides.setdefault(side, []).append((x, c, np.sort(np.array(found, np.int64))))
         first, second = key[1].as_py(), key[2].as_py()
         one, other = sides.get(first, []), None if first == second else sides.get(second, [])
         links = join_blocks(one, other, percent) if one and (other is None or other) else []
@@ -299,8 +329,8 @@ def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85, id_col: st
 
     Documents with equal sets are one class and compared once. Null, empty and wordless
     texts have no shingles and link with nothing; neither do rows with a null id, whose
-    component is null. Rows that share an id are one document with the links of each.
-    Repeated rows stay; extra columns are not read; an empty table gives an empty result.
+    component is null. Rows that share an id are separate texts under one name; classes whose
+    smallest id is the same are one. Repeated rows stay; extra columns are not read; an empty table gives an empty result.
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     rank = Rank.of(texts.select("text"), k)
@@ -311,28 +341,45 @@ def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85, id_col: st
                   .select("h1", "h2", "n", F.col("low.doc_id").alias("x"), F.col("low.row").alias("row")))
     cells = (able.select("row", "window").join(classes.select("row", "x", "n"), "row")
              .select(F.explode("window").alias("s"), "x", "n").repartition(shares(docs.sparkSession), "s"))
-    regions = (cells.groupBy("s").agg(F.count("*").alias("m"), F.min("x").alias("c"), F.min_by("n", "x").alias("cn"),
-                                      F.sum(F.xxhash64("x").cast("decimal(30,0)")).alias("f")).where("m > 1"))
+    regions = (cells.groupBy("s").agg(F.count("*").alias("m"), F.min("x").alias("c"), F.min_by("n", "x").alias("cn")).where("m > 1"))
     shared = cut(cells.join(regions, "s"))
 
-    sets = cut(texts.where("doc_id is not null").mapInArrow(_sets(_filter(shared.select("x")), k), "id bigint, shingles array<bigint>"))
-    # Second level: all members against the first one of their region.
-    stars = shared.where((F.col("x") != F.col("c")) & _near(F.col("n"), F.col("cn"), percent)).select(
-        F.col("c").alias("u"), F.col("x").alias("v")).distinct()
-    links = cut(_checked(stars, sets, percent))
+    # Second level: the first member of a region is its pivot. Each document is measured
+    # against the smallest pivot that it meets often enough, then against the others of
+    # another component.
+    stars = cut(shared.where((F.col("x") != F.col("c")) & _near(F.col("n"), F.col("cn"), percent))
+                .groupBy(F.col("c").alias("u"), F.col("x").alias("v")).agg(F.count("*").alias("times"))
+                .where(F.col("times") >= meetings(percent)).select("u", "v"))
+    links = _checked(stars.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), texts, k, percent)
+    found = components(links)
+    apart = (stars.join(found.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left")
+             .join(found.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
+             .where("coalesce(cu, u) <> coalesce(cv, v)").select("u", "v"))
+    links = cut(links.union(_checked(apart.join(links, ["u", "v"], "left_anti"), texts, k, percent)))
     found = components(links)
 
-    # Third level: regions that still hold several components; equal regions once.
-    labelled = cut(shared.select("s", "x", "n", "m", "f").join(found.withColumnRenamed("node", "x"), "x", "left")
-                   .withColumn("component", F.coalesce("component", "x")))
-    open_ = (labelled.where("m > 2").groupBy("f", "m", "s").agg(F.min("component").alias("a"), F.max("component").alias("b"))
-             .where("a <> b").groupBy("f", "m").agg(F.min("s").alias("s")))
-    rest = cut(labelled.join(open_.select("s"), "s"))
-    small = (rest.where(F.col("m") <= SMALL_REGION).groupBy("s").agg(F.collect_list(F.struct("x", "n", "component")).alias("all"))
-             .select("all").mapInArrow(_pairs(percent), "u bigint, v bigint").distinct())
-    more = cut(_checked(small, sets, percent))
-    wide = cut(_open_links(rest.where(F.col("m") > SMALL_REGION), sets, percent))
-    final = components(links.union(more).union(wide))
+    # Third level: regions that still hold several components; equal regions once, with their number.
+    # Only region and member travel until it is known which regions are open.
+    labelled = (shared.select("s", "x").join(found.withColumnRenamed("node", "x"), "x", "left")
+                .withColumn("component", F.coalesce("component", "x")))
+    open_ = cut(labelled.groupBy("s").agg(
+        F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("m"),
+        F.bit_xor(F.xxhash64("x")).alias("f"), F.bit_xor(F.xxhash64("x", F.lit(1))).alias("g"))
+        .where("a <> b").groupBy("f", "g", "m").agg(F.min("s").alias("s"), F.count("*").alias("regions")))
+    rest = cut(shared.select("s", "x", "n").join(open_.select("s", "m", "regions"), "s")
+               .join(found.withColumnRenamed("node", "x"), "x", "left")
+               .withColumn("component", F.coalesce("component", "x")))
+    small = (rest.where(F.col("m") <= SMALL_REGION).groupBy("s", "regions")
+             .agg(F.collect_list(F.struct("x", "n", "component")).alias("all"), F.min("x").alias("c"))
+             .repartition(shares(docs.sparkSession), "c").select("all", "regions")
+             .mapInArrow(_pairs(percent), "u bigint, v bigint, times bigint")
+             .groupBy("u", "v").agg(F.sum("times").alias("times")).where(F.col("times") >= meetings(percent)).select("u", "v"))
+    more = _checked(small, texts, k, percent)
+    large = rest.where(F.col("m") > SMALL_REGION)
+    final = links.union(more)
+    if not large.isEmpty():
+        final = final.union(cut(_open_links(large, _sets_of(texts, large.select("x"), k), percent)))
+    final = components(final)
 
     known = (classes.join(final.withColumnRenamed("node", "x"), "x", "left")
              .select("h1", "h2", "n", F.coalesce("component", "x").alias("component_id")))
