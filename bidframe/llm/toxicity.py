@@ -152,7 +152,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # Most texts without a known word are alike: each different row counts once, with its number.
     table, counts = np.unique(np.column_stack([x, grade]), axis=0, return_counts=True)
     weights, cuts = fit(table[:, :-1], table[:, -1].astype(int), counts.astype(float))
-    return Ordinal(model.words, weights, cuts, best_cut(_sigma(x @ weights - cuts[0]), y))
+    # A text without any known word gives no reason to reject it.
+    least = float(np.nextafter(_sigma(-cuts[0]), 1))
+    return Ordinal(model.words, weights, cuts, max(least, best_cut(_sigma(x @ weights - cuts[0]), y)))
 
 
 def grade(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,7 +162,7 @@ def grade(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str
 
     The expected severity is the sum over k of P(grade > k), from 0 to 3; ``severity`` is the
     number of grades passed with at least even odds. Whole texts are read; null and empty
-    ones have no words and get the model's base rate. Repeated rows and null ids stay.
+    ones have no words, get the model's base rate and are not toxic. Repeated rows and null ids stay.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
