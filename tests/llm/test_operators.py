@@ -259,6 +259,36 @@ def test_repeated_units(spark):
     assert sd.repeated_units(docs.where("false")).count() == 0
 
 
+def test_repeated_passages_wherever_they_begin(spark):
+    rng = random.Random(6)
+    shared, size = [prose(rng, n, 10_000) for n in (50, 55, 70)], 50
+    join = lambda *parts: " ".join(parts)
+    texts = [join(prose(rng, 9), shared[0], prose(rng, 8)), join(prose(rng, 5), shared[0].upper().replace(" ", "\n "), prose(rng, 7)),
+             join(prose(rng, 3), shared[1], shared[2], prose(rng, 3)), join(shared[2], prose(rng, 4), shared[1]),
+             " ".join(["junk"] * 130), join(prose(rng, 4), prose(random.Random(7), 49)), prose(random.Random(7), 49), None, ""]
+    docs = docs_of(spark, texts)
+    want, seen = set(), {}
+    for doc, text in enumerate(texts):
+        spans = [m.span() for m in re.finditer(r"\S+", text or "")]
+        words = (text or "").lower().split()
+        for at in range(len(words) - size + 1):
+            kept = seen.setdefault(tuple(words[at: at + size]), (doc, at))
+            if kept != (doc, at) and (kept[0] != doc or at >= kept[1] + size):
+                want |= {(doc, i) for i in range(spans[at][0], spans[at + size - 1][1])}
+    got = sd.repeated_passages(docs)
+    assert {(r.doc_id, i) for r in got.collect() for i in range(r.start, r.stop)} == want and want
+    assert {r.doc_id for r in got.collect()} == {1, 3, 4}
+    assert rows(got.where("doc_id in (1, 4)"), "doc_id", "words", "kept_doc_id") == [(1, 50, 0), (4, 80, 4)]
+    left = {r.doc_id: r.text for r in sd.remove_units(docs, sd.repeated(docs)).collect()}
+    assert left[4].split() == ["junk"] * 50 and len(left[1].split()) == 12 and len(left[3].split()) == 4
+    assert sd.repeated_passages(docs.where("false")).count() == 0
+
+
+def test_short_repeated_units_go(spark):
+    docs = docs_of(spark, ["one short line\na", "b\none short line\nc"])
+    assert rows(sd.repeated(docs), "doc_id", "unit", "kept_doc_id") == [(1, 1, 0)]
+
+
 # --- 7 toxicity ---------------------------------------------------------------------
 
 
