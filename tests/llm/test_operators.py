@@ -374,6 +374,22 @@ def test_near_duplicates(spark):
     assert ed.near_duplicates(frame.where("false")).count() == 0
 
 
+def test_near_duplicates_of_each_length(spark):
+    rng = np.random.default_rng(19)
+    vectors = []
+    for dims in (8, 5, 1):
+        base = rng.normal(size=(12, dims))
+        vectors += [*base, *(base[:4] + 0.05 * rng.normal(size=(4, dims))), *base[:3]]
+    vectors = [[float(x) for x in v] for v in [*vectors, rng.normal(size=30)]]
+    unit = [np.array(v) / np.linalg.norm(v) for v in vectors]
+    link = np.array([[i != j and len(a) == len(b) and a @ b >= 0.95 for j, b in enumerate(unit)] for i, a in enumerate(unit)])
+    root = group(len(unit), *np.nonzero(link))
+    want = [(i, int(link[i].sum()), int(root[i]), root[i] == i) for i in range(len(unit))]
+    frame = spark.createDataFrame(list(enumerate(vectors)), "vec_id bigint, embedding array<double>")
+    for block in (4, 4096):
+        assert rows(ed.near_duplicates(frame, block_rows=block), "vec_id", "n_links", "component_id", "kept") == want
+
+
 # --- 10 secrets ---------------------------------------------------------------------
 
 SECRETS = {"assign": r"(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
