@@ -223,9 +223,10 @@ def token_subset_match(t: Inputs) -> DataFrame:
     WHEN l_quantity * 2 >= 65 THEN 'REVISAR' ELSE 'BAIXA' END AS band, count(*) AS n
     FROM lineitem GROUP BY l_quantity""")
 def similarity_band(t: Inputs) -> DataFrame:
-    band = sim.similarity_band(F.col("l_quantity") * 2, 85.0, 65.0)
-    return (t.table("lineitem").groupBy("l_quantity").agg(F.count(F.lit(1)).alias("n"))
-            .withColumn("band", band))
+    """Band of each distinct pair of requested and quoted text; the SQL bands a stand-in number."""
+    pairs = _with_similarity(_text_pairs(t))
+    return pairs.select("req_description", "description", F.round("similarity", 4).alias("similarity"),
+                        sim.similarity_band(F.col("similarity"), 85.0, 65.0).alias("band"))
 
 
 # --- row quality ---------------------------------------------------------------------
@@ -493,10 +494,8 @@ def compare_attributes(t: Inputs) -> DataFrame:
 
 @query("eq_status", """SELECT rfq_id, item_id, supplier, eq_status FROM statuses""")
 def eq_status(t: Inputs) -> DataFrame:
-    """Status with the three similarity bands below 100 as one."""
-    status = F.col("eq_status")
-    return t.chain.cells(False).select("rfq_id", "item_id", "supplier", F.when(
-        status.isin(eq.REVISED, eq.REVIEW, eq.DIFFERENT), "PARCIAL").otherwise(status).alias("eq_status"))
+    """Status of every quoted cell; the SQL knows the three similarity bands below 100 only as 'PARCIAL'."""
+    return t.chain.cells().select("rfq_id", "item_id", "supplier", "eq_status")
 
 
 @query("equalize")
@@ -653,7 +652,8 @@ _MISSING = """SELECT g.* FROM grid g LEFT JOIN (SELECT * FROM cells WHERE eq_sta
     UNION ALL SELECT rfq_id, 'MÉDIA', 'Frete', NULL, NULL, NULL, NULL, supplier FROM indicators WHERE freight_informed AND NOT freight_included
     UNION ALL SELECT rfq_id, 'BAIXA', 'Frete', NULL, NULL, NULL, NULL, supplier FROM indicators WHERE NOT freight_informed""")
 def alerts(t: Inputs) -> DataFrame:
-    return analysis.alerts(t.items, t.marked, t.chain.suppliers, t.cmap, t.hot.grid).drop("message")
+    """All alerts with their message, which the SQL does not write."""
+    return analysis.alerts(t.items, t.marked, t.chain.suppliers, t.cmap, t.hot.grid)
 
 
 @query("insights", """WITH sp AS (SELECT rfq_id, item_id, spread_pct, row_number() OVER (PARTITION BY rfq_id
@@ -786,13 +786,10 @@ def default_labels(t: Inputs) -> DataFrame:
     LEFT JOIN cmap m ON g.rfq_id = m.rfq_id AND g.item_id = m.item_id
     LEFT JOIN best b ON g.rfq_id = b.rfq_id AND g.item_id = b.item_id AND g.supplier = b.supplier""")
 def compact_map(t: Inputs) -> DataFrame:
-    """Status bands below 100 are shown as one here; the full status is in equalize."""
+    """Map with the full status; the SQL knows the similarity bands below 100 only as 'PARCIAL'."""
     from bidframe.plans.report import map_grid
     out = views.compact_map(map_grid(t), t.cmap.select("rfq_id", "item_id", "best_suppliers"))
-    status = F.col("status")
-    return rounded(out.withColumn("best_suppliers", F.array_join("best_suppliers", ", "))
-                   .withColumn("status", F.when(status.isin(eq.REVISED, eq.REVIEW, eq.DIFFERENT), "PARCIAL")
-                               .otherwise(status)), "price")
+    return rounded(out.withColumn("best_suppliers", F.array_join("best_suppliers", ", ")), "price")
 
 
 @query("prices_long", """SELECT rfq_id, item_id, req_description AS description, supplier, round(unit_price, 4) AS price
@@ -821,12 +818,15 @@ def kpi_rows(t: Inputs) -> DataFrame:
     CASE WHEN final_score >= 90 THEN 'good' WHEN final_score >= 60 THEN 'medium' ELSE 'plain' END AS score_band,
     CASE WHEN eligible THEN 'good' ELSE 'bad' END AS eligible_band FROM ranked WHERE eq_status <> 'PARCIAL'""")
 def severity_band(t: Inputs) -> DataFrame:
-    return (t.chain.scored().where(~F.col("eq_status").isin(eq.REVISED, eq.REVIEW, eq.DIFFERENT))
+    """Bands of every scored cell and of its item's spread; the SQL leaves out the similarity bands below 100."""
+    spread = t.cmap.select("rfq_id", "item_id", "spread_pct")
+    return (t.chain.scored(exact_similarity=True).join(spread, ["rfq_id", "item_id"], "left")
             .select("rfq_id", "item_id", "supplier",
                     views.status_band(F.col("eq_status")).alias("status_band"),
                     views.status_band(F.col("qty_check")).alias("qty_band"),
                     views.class_band(F.col("score_class")).alias("class_band"),
                     views.score_band(F.col("final_score")).alias("score_band"),
+                    views.spread_band(F.col("spread_pct")).alias("spread_band"),
                     views.eligible_band(F.col("eligible")).alias("eligible_band")))
 
 

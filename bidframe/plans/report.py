@@ -9,10 +9,10 @@ from bidframe.plans.registry import Inputs
 
 
 def map_grid(t: Inputs) -> DataFrame:
-    """Full grid with the eligible price of each cell."""
+    """Full grid with the status and the eligible price of each cell."""
     asked = t.items.select("rfq_id", "item_id", F.col("description").alias("req_description"),
                            F.col("quantity").alias("req_quantity"), F.col("unit").alias("req_unit"))
-    offered = t.chain.eligible_cells.select(
+    offered = scoring.with_eligibility(t.chain.cells()).select(
         "rfq_id", "item_id", "supplier", "eq_status",
         F.when(F.col("price_eligible"), F.col("unit_price")).alias("price"))
     return (eq.quote_grid(asked, t.chain.suppliers, t.hot.grid)
