@@ -79,9 +79,9 @@ NEAR_TOP = 100.0 - max(points for points, _ in CONTEXT.values())
 SCORED_ROWS = 2_000
 
 
-def _phrase_rows(catalogued: list[tuple[str, str]]):
+def _phrase_rows(catalogued: list[tuple[str, str]], every: bool = False):
     """For each header the phrases that can decide: equal or contained ones, and per concept the
-    first of the best and those near the top."""
+    first of the best and those near the top; or ``every`` phrase."""
     names = [a for _, a in catalogued]
     inside = [re.compile(rf"(?:^|\W){re.escape(a)}(?:$|\W)") for a in names]
     concepts = {}
@@ -93,7 +93,7 @@ def _phrase_rows(catalogued: list[tuple[str, str]]):
             for at in range(0, batch.num_rows, SCORED_ROWS):
                 texts = batch.column(0).slice(at, SCORED_ROWS).to_pylist()
                 base = phrase_scores(texts, names, lambda h, a: pair_ratio(h, a, 0.0))
-                keep = base >= NEAR_TOP
+                keep = np.full(base.shape, True) if every else base >= NEAR_TOP
                 for i, h in enumerate(texts):
                     for n, a in enumerate(names):
                         if a in h and (h == a or inside[n].search(h)):
@@ -111,16 +111,16 @@ def _phrase_rows(catalogued: list[tuple[str, str]]):
     return run
 
 
-def alias_scores(headers: DataFrame, extra=None) -> DataFrame:
+def alias_scores(headers: DataFrame, extra=None, every: bool = False) -> DataFrame:
     """Scores of the catalogue phrases for each distinct normalized header ``norm``.
 
     Phrases that neither equal nor stand in the header nor can be the best of their concept
-    are left out. Headers are dealt out by hash, so the work is spread however few bytes
+    are left out, unless ``every`` one is asked for. Headers are dealt out by hash, so the work is spread however few bytes
     they take.
     """
     parts = int(headers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (headers.select("norm").distinct().repartition(parts, "norm").mapInArrow(
-        _phrase_rows(phrases(extra)), "norm string, n int, concept string, alias string, base double"))
+        _phrase_rows(phrases(extra), every), "norm string, n int, concept string, alias string, base double"))
 
 
 def context_flags(headers: DataFrame, keys: list[str]) -> DataFrame:

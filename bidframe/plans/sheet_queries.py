@@ -187,18 +187,15 @@ def match_exact_alias(t: Inputs) -> DataFrame:
     FROM (SELECT DISTINCT norm FROM sheet_heads) CROSS JOIN alias_list
     WHERE norm = alias OR regexp_matches(norm, '(^|[^a-z0-9_])' || replace(alias, '.', '\\.') || '($|[^a-z0-9_])')""")
 def score_alias(t: Inputs) -> DataFrame:
-    """Phrases a header equals or contains; see header_scores for all of them."""
-    s = sm.alias_scores(Sheets(t).headers)
-    whole = F.concat(F.lit(" "), F.regexp_replace("norm", r"[^a-z0-9_]+", " "), F.lit(" "))
-    inside = whole.contains(F.concat(F.lit(" "), F.regexp_replace("alias", r"[^a-z0-9_]+", " "), F.lit(" ")))
-    return rounded(s.where((F.col("norm") == F.col("alias")) | (inside & F.col("norm").contains(F.col("alias"))))
-                   .select("norm", "concept", "alias", F.col("base").alias("score")), "score")
+    """Every header with every phrase; the SQL shows only equal and contained ones, it has no fuzzy score."""
+    return rounded(sm.alias_scores(Sheets(t).headers, every=True).select(
+        "norm", "concept", "alias", F.col("base").alias("score")), "score")
 
 
 @query("header_scores")
 def header_scores(t: Inputs) -> DataFrame:
-    """The phrases that can decide a header: equal, contained, or the best of their concept."""
-    return rounded(sm.alias_scores(Sheets(t).headers).select(
+    """Every header with every phrase, as in score_alias."""
+    return rounded(sm.alias_scores(Sheets(t).headers, every=True).select(
         "norm", "concept", "alias", F.col("base").alias("score")), "score")
 
 
@@ -216,11 +213,9 @@ def rank_candidates(t: Inputs) -> DataFrame:
     CASE WHEN concept IS NULL THEN 'NONE' WHEN score >= 92 THEN 'HIGH' WHEN score >= 78 THEN 'MEDIUM' ELSE 'LOW' END AS confidence
     FROM head_class WHERE layout <> 3""")
 def classify_header(t: Inputs) -> DataFrame:
-    """Concept per column by header alone; positional sheets are left to generic_layout."""
+    """Concept per column by header alone; the SQL leaves out the positional sheets."""
     s = Sheets(t)
-    generic = sm.generic_layout(s.headers).select("file", "sheet").distinct()
-    return (s.headers.join(generic, ["file", "sheet"], "left_anti")
-            .join(sm.classify(s.headers), ["norm", *sm.FLAGS])
+    return (s.headers.join(sm.classify(s.headers), ["norm", *sm.FLAGS])
             .select("file", "sheet", "col_idx", "header", "concept", "confidence"))
 
 
@@ -323,12 +318,8 @@ def column_matches(t: Inputs) -> DataFrame:
 @query("resolve_columns", """SELECT file, sheet, concept, col_idx FROM (SELECT file, sheet, layout, concept, min(col_idx) AS col_idx, count(*) AS n
     FROM head_class WHERE layout IN (0, 1) AND concept IS NOT NULL GROUP BY file, sheet, layout, concept) WHERE n = 1""")
 def resolve_columns(t: Inputs) -> DataFrame:
-    """Mapped columns of the sheets whose headers alone decide (two header styles)."""
-    s = Sheets(t)
-    plain = (s.headers.where((F.col("col_idx") == 0) & F.col("header").isin("ID do item", "Item Code"))
-             .select("file", "sheet"))
-    return (s.resolved.join(plain, ["file", "sheet"], "left_semi").where("col_idx IS NOT NULL")
-            .select("file", "sheet", "concept", "col_idx"))
+    """Mapped columns of all sheets; the SQL knows only the two header styles whose headers alone decide."""
+    return Sheets(t).resolved.where("col_idx IS NOT NULL").select("file", "sheet", "concept", "col_idx")
 
 
 @query("column_problems")
