@@ -1,11 +1,11 @@
-"""Queries of the ten operators, one each, with production parameters over whole tables."""
+"""Queries of the operators, one each, with production parameters over whole tables."""
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from bidframe.llm import (decontaminate, embedding_dedup, jaccard_join, mixing, pii, quality, secrets,
+from bidframe.llm import (decontaminate, embedding_dedup, exact_dedup, jaccard_join, mixing, pii, quality, secrets,
                           substring_dedup, toxicity, url_filter)
 from bidframe.llm.common import table
 
@@ -69,11 +69,20 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counted(secrets.scan(docs, secrets.train(docs)), secrets.KINDS)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.duplicates(spark, f"{sf_dir}/documents.parquet")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pii, op2_url_filter, op3_decontaminate, op4_quality, op5_jaccard_join,
-                            op6_substring_dedup, op7_toxicity, op8_mixing, op9_embedding_dedup, op10_secrets)}
+                            op6_substring_dedup, op7_toxicity, op8_mixing, op9_embedding_dedup, op10_secrets, op11_exact_dedup)}
 
 ORACLES: dict[str, str] = {
+    "op11_exact_dedup": f"""
+WITH normal AS (SELECT doc_id, translate(coalesce(text, ''), '{exact_dedup.UPPER}', '{exact_dedup.LOWER}') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+FROM normal WINDOW same AS (PARTITION BY t)""",
     # Closed form of the water-filling: sources in order of size by weight; those before the
     # first that its share fits are at their cap.
     "op8_mixing": r"""
