@@ -5,8 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from bidframe.llm import (decontaminate, embedding_dedup, exact_dedup, jaccard_join, mixing, pii, quality, secrets,
-                          substring_dedup, toxicity, url_filter)
+from bidframe.llm import (collocations, decontaminate, embedding_dedup, exact_dedup, hard_negatives, jaccard_join, mixing,
+                          pii, quality, secrets, substring_dedup, toxicity, url_filter)
 from bidframe.llm.common import table
 
 
@@ -73,9 +73,20 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(spark, f"{sf_dir}/documents.parquet")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved), lambda vec_id: vec_id % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pii, op2_url_filter, op3_decontaminate, op4_quality, op5_jaccard_join,
-                            op6_substring_dedup, op7_toxicity, op8_mixing, op9_embedding_dedup, op10_secrets, op11_exact_dedup)}
+                            op6_substring_dedup, op7_toxicity, op8_mixing, op9_embedding_dedup, op10_secrets, op11_exact_dedup,
+                            op12_collocations, op13_hard_negatives)}
 
 ORACLES: dict[str, str] = {
     "op11_exact_dedup": f"""
@@ -117,4 +128,54 @@ placed AS (
 SELECT doc_id, size, source_size, target,
        CAST(whole * size + greatest(0, least(size, part - before)) AS BIGINT) AS taken
 FROM placed""",
+    "op12_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+worded AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+sizes AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM worded GROUP BY lang),
+placed AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded),
+grams AS (
+  SELECT lang, words, array_to_string(list_slice(w, i, i + words - 1), ' ') AS phrase
+  FROM placed, (VALUES (1), (2), (3), (4), (5)) AS v(words) WHERE i + words - 1 <= len(w)),
+counts AS (SELECT lang, words, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+candidates AS (SELECT lang, words, phrase, string_split(phrase, ' ') AS w, f AS a FROM counts WHERE words > 1),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, k, l.f AS l, r.f AS r,
+         CAST(1000::HUGEINT * c.a * s.n // (l.f::HUGEINT * r.f) AS BIGINT) AS score, s.n
+  FROM (SELECT *, unnest(range(1, words)) AS k FROM candidates) c
+  JOIN sizes s ON s.lang = c.lang
+  JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(list_slice(c.w, 1, k), ' ')
+  JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(list_slice(c.w, k + 1, c.words), ' ')),
+weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+parts AS (
+  SELECT lang, array_to_string(list_slice(w, i, i + size - 1), ' ') AS phrase, a
+  FROM (SELECT *, unnest(range(1, words - size + 2)) AS i
+        FROM (SELECT *, unnest(range(2, words)) AS size FROM candidates)) ),
+longer AS (SELECT lang, phrase, max(a) AS a FROM parts GROUP BY ALL),
+kept AS (
+  SELECT w.* FROM weakest w LEFT JOIN longer p ON p.lang = w.lang AND p.phrase = w.phrase
+  WHERE p.a IS NULL OR 100 * p.a < 100 * w.a)
+SELECT * FROM (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+  FROM kept) WHERE rank <= 2000""",
+    "op13_hard_negatives": """
+WITH fit AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.id AS anchor, b.id AS other, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM fit a JOIN fit b ON a.id % 100 = 0 AND a.id <> b.id),
+positives AS (
+  SELECT * FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5)
+SELECT p.anchor AS anchor_id, p.other AS positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY n.score DESC, n.other) AS INTEGER) AS rank,
+       n.other AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scores n ON n.anchor = p.anchor AND NOT n.same
+  AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+QUALIFY rank <= 10""",
 }
