@@ -14,14 +14,14 @@ from bidframe.llm.common import cut, shares, texts
 SHARDS = 8
 #: Bits of the filters of frequent phrases; a fuller filter costs work, not results.
 FILTER_BITS = 1 << 26
-#: Words held at once in a task, and words known at once (both bound its memory).
-CHUNK_WORDS, KNOWN_WORDS = 1_500_000, 1_000_000
+#: Bytes of text held at once in a task, which bound its memory; a longer text makes a chunk of its own.
+CHUNK_BYTES = 4_000_000
 
 # Letters put in lower case, characters that end a piece, blanks between words.
 _TABLE = bytes(32 if b == 9 else 10 if chr(b) in ".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Stands for the end of a piece; no UTF-8 text holds this byte.
-_END = b"\xff"
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
+#: Odd multipliers of the two hashes of a word.
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -30,86 +30,80 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hash(data: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
+class _Powers:
+    """Powers of a base and of its inverse modulo 2^64."""
 
+    def __init__(self, base: int):
+        self.base, self.n = base, 0
 
-class _Words(dict):
-    """Numbers of the words met, 0 for the end of a piece, with their hashes."""
-
-    def __init__(self):
-        super().__init__({_END: 0})
-        self.words, self.hashes = [_END], [0]
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self.words)
-        self.words.append(word)
-        self.hashes.append(_hash(word))
-        return number
-
-    def of(self, text: str) -> np.ndarray:
-        """Word numbers of a text, piece after piece, ended by a 0."""
-        data = text.encode("utf-8", "surrogatepass").translate(_TABLE)
-        found = data.replace(b"\n", b" " + _END + b" ").split()
-        out = np.zeros(len(found) + 1, np.int64)
-        out[:-1] = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
-        return out
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > self.n:
+            self.n = max(n, CHUNK_BYTES)
+            self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(self.n, b, np.uint64)]))
+                                  for b in (self.base, pow(self.base, -1, 1 << 64)))
+        return self.up[:n], self.down[:n]
 
 
 class _Chunk:
-    """Words of some texts in a row, with the language and shard of each."""
-
-    def __init__(self, known: _Words, ids: list[np.ndarray], langs: list[str], shards: list[int]):
-        self.words, self.ids = known.words, np.concatenate(ids)
-        names, sizes = sorted(set(langs)), [len(i) for i in ids]
+    """The words of some texts in a row: where they lie, their piece, language, shard and hashes."""
+
+    def __init__(self, texts_: list[bytes], langs: list[str], shards: list[int], powers: list[_Powers]):
+        self.data = b"\n".join(texts_).translate(_TABLE)
+        raw = np.frombuffer(self.data, np.uint8)
+        letter = np.concatenate([[False], (raw != 32) & (raw != 10), [False]])
+        self.starts, self.ends = np.flatnonzero(letter[1:-1] & ~letter[:-2]), np.flatnonzero(letter[1:-1] & ~letter[2:]) + 1
+        self.piece = np.cumsum(raw == 10)[self.starts]
+        text = np.searchsorted(np.cumsum([0] + [len(t) + 1 for t in texts_[:-1]]), self.starts, "right") - 1
+        names = sorted(set(langs))
         self.langs = pa.array(names, pa.string())
-        self.lang = np.repeat(np.array([names.index(x) for x in langs], np.int32), sizes)
-        self.shard = np.repeat(np.array(shards, np.int32), sizes)
-        self.hashes = np.array(known.hashes, np.uint64)[self.ids]
-        self.seeds = np.array([_hash(b"lang " + n.encode()) for n in names], np.uint64)
-
-    def grams(self, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each length whether a phrase begins at a place, and its key of (language, phrase)."""
-        inside, run = self.ids > 0, self.hashes
+        self.lang = np.array([names.index(x) for x in langs], np.int32)[text]
+        self.shard = np.array(shards, np.int32)[text]
+        self.hashes = [self._hashes(raw, p) for p in powers]
+        self.seeds = np.array([int.from_bytes(hashlib.blake2b(n.encode(), digest_size=8).digest(), "little")
+                               for n in names], np.uint64)
+
+    def _hashes(self, raw: np.ndarray, powers: _Powers) -> np.ndarray:
+        """A polynomial of each word's bytes modulo 2^64, from running sums."""
+        up, down = powers.upto(len(raw))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up, dtype=np.uint64)])
+        return _mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+
+    def grams(self, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each length whether a phrase begins at a word, its key of (language, phrase), and a second hash."""
+        runs = list(self.hashes)
         for k in range(1, most + 1):
             if k > 1:
-                inside = inside[:-1] & (self.ids[k - 1:] > 0)
-                run = _mix(run[:-1] * _MIX[2] + self.hashes[k - 1:])
-            yield k, inside, _mix(run ^ self.seeds[self.lang[:len(run)]])
+                runs = [_mix(run[:-1] * _MIX[2] + h[k - 1:]) for run, h in zip(runs, self.hashes)]
+            n = max(len(self.starts) - k + 1, 0)
+            yield k, self.piece[:n] == self.piece[k - 1:], _mix(runs[0] ^ self.seeds[self.lang[:n]]), runs[-1]
 
-    def phrases(self, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """Distinct phrases of ``k`` words among the places, by language: a place, count and text of each.
+    def phrases(self, at: np.ndarray, k: int, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Distinct (language, phrase) of ``k`` words among the places: a place, count and text of each.
 
-        The words themselves are compared: their numbers are packed with that of the phrase so far.
+        Equal means both 64-bit hashes are; a place whose second one differs from its like's counts alone.
         """
-        code = self.lang[at].astype(np.int64)
-        for j in range(k):
-            code = code * len(self.words) + self.ids[at + j]
-            if j < k - 1:
-                code = np.unique(code, return_inverse=True)[1]
-        _, first, n = np.unique(code, return_index=True, return_counts=True)
-        rows = self.ids[at[first][:, None] + np.arange(k)].tolist()
-        return at[first], n, [b" ".join([self.words[i] for i in row]).decode("utf-8", "surrogatepass") for row in rows]
-
-
-def _chunks(batches, most_words: int, most_known: int) -> Iterator[_Chunk]:
-    """Texts (column 0) with language and shard, ``most_words`` words or one longer text at a time."""
-    known, held, ids, langs, shards = _Words(), 0, [], [], []
+        _, first, own = np.unique(key[at], return_index=True, return_inverse=True)
+        odd = check[at] != check[at[first]][own]
+        n = np.bincount(own[~odd], minlength=len(first))
+        at, n = np.concatenate([at[first], at[odd]]), np.concatenate([n, np.ones(odd.sum(), n.dtype)])
+        pieces = [self.data[a:b] for a, b in zip(self.starts[at].tolist(), self.ends[at + k - 1].tolist())]
+        return at, n, [(p if b"  " not in p else b" ".join(p.split())).decode("utf-8", "surrogatepass") for p in pieces]
+
+
+def _chunks(batches, most: int, bases: tuple[int, ...]) -> Iterator[_Chunk]:
+    """Texts (column 0) with language and shard, up to ``most`` bytes or one longer text at a time."""
+    powers, held, found = [_Powers(b) for b in bases], 0, ([], [], [])
     for batch in batches:
         for text, lang, shard in zip(texts(batch), batch.column(1), batch.column(2)):
-            words = known.of(text)
-            if ids and held + len(words) > most_words:
-                yield _Chunk(known, ids, langs, shards)
-                held, ids, langs, shards = 0, [], [], []
-                if len(known.words) > most_known:
-                    known = _Words()
-                    words = known.of(text)
-            ids.append(words)
-            langs.append(lang.as_py())
-            shards.append(shard.as_py())
-            held += len(words)
-    if ids:
-        yield _Chunk(known, ids, langs, shards)
+            row = text.encode("utf-8", "surrogatepass"), lang.as_py(), shard.as_py()
+            if found[0] and held + len(row[0]) > most:
+                yield _Chunk(*found, powers)
+                held, found = 0, ([], [], [])
+            for values, value in zip(found, row):
+                values.append(value)
+            held += len(row[0]) + 1
+    if found[0]:
+        yield _Chunk(*found, powers)
 
 
 def _shard_seeds(shards: int) -> np.ndarray:
@@ -126,9 +120,9 @@ def _local(lengths: range, seeds: np.ndarray, base: int = 0, bits=None):
     words only where all ``base`` in a row are in the filter of the shard."""
 
     def run(batches):
-        for chunk in _chunks(batches, CHUNK_WORDS, KNOWN_WORDS):
+        for chunk in _chunks(batches, CHUNK_BYTES, _BASES[:1]):
             able = None
-            for k, inside, keys in chunk.grams(lengths[-1]):
+            for k, inside, keys, _ in chunk.grams(lengths[-1]):
                 own = keys ^ seeds[chunk.shard[:len(keys)]]
                 if k == base:
                     able = inside & _holds(bits.value, own)
@@ -148,12 +142,12 @@ def _local(lengths: range, seeds: np.ndarray, base: int = 0, bits=None):
 
 
 def _exact(most: int, bits):
-    """Counts of the phrases whose key is in the filter, by their words."""
+    """Counts of the phrases whose key is in the filter, with their text."""
 
     def run(batches):
-        for chunk in _chunks(batches, CHUNK_WORDS, KNOWN_WORDS):
-            for k, inside, keys in chunk.grams(most):
-                at, n, phrase = chunk.phrases(np.flatnonzero(inside & _holds(bits.value, keys)), k)
+        for chunk in _chunks(batches, CHUNK_BYTES, _BASES):
+            for k, inside, keys, check in chunk.grams(most):
+                at, n, phrase = chunk.phrases(np.flatnonzero(inside & _holds(bits.value, keys)), k, keys, check)
                 yield pa.RecordBatch.from_arrays(
                     [chunk.langs.take(pa.array(chunk.lang[at])), pa.array(phrase, pa.string()),
                      pa.array(np.full(len(at), k, np.int32)), pa.array(n)], ["lang", "phrase", "words", "n"])
@@ -180,7 +174,7 @@ def frequent_phrases(docs: DataFrame, most: int = 5, min_count: int = 100, shard
     share of ``min_count``, by words, in some shard; so each shard is mined completely for
     those, word by word longer, and every task counts only phrases whose parts are frequent in
     the shard. The phrases of all shards together are then counted exactly over the corpus, by
-    their words. Hashes and filters only let more through.
+    their text. Hashes and filters only let more through.
     """
     read = docs.select(F.col(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
                        F.pmod(F.xxhash64(id_col), F.lit(shard_count)).cast("int").alias("shard"))

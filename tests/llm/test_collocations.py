@@ -63,8 +63,7 @@ def test_equals_brute_force(spark, seed):
 
 
 def test_small_chunks_filters_and_tops(spark, monkeypatch):
-    for name, value in (("CHUNK_WORDS", 50), ("KNOWN_WORDS", 10)):
-        monkeypatch.setattr(co, name, value)
+    monkeypatch.setattr(co, "CHUNK_BYTES", 300)
     rows = corpus(3)
     assert found(spark, rows, top=3, shard_count=3, min_count=7) == brute(rows, top=3, min_count=7)
 
