@@ -117,22 +117,28 @@ def checked(spark: SparkSession, path: str, kept: DataFrame, id_col: str = "doc_
     """
     rows = _likely(_rows(spark.read, spark.read.parquet(path).schema, path, id_col, text_col, digest),
                    kept.where("n > 1"))
+    ways = shares(spark)
     texts = (rows.where("likely").select("file", "row", F.col("text").alias("kept_text"))
              .join(kept.where("n > 1").select("digest", F.col("kept.file"), F.col("kept.row")), ["file", "row"])
              .select("digest", "kept_text"))
-    ways = shares(spark)
     limit = (kept.agg(F.sum("n")).first()[0] or 0) // (4 * ways) + 1
     # At most 4 * ways digests have more than the limit.
     hot = F.broadcast(kept.where(F.col("n") > limit).select("digest", F.lit(ways).alias("ways")))
     salt = F.pmod(F.xxhash64("file", "row"), F.coalesce("ways", F.lit(1))).cast("int")
     left = (rows.join(hot, "digest", "left").withColumn("salt", salt)
             .withColumn("sha256", F.sha2("text", 256)).withColumn("text", F.when(F.col("likely"), F.col("text")))
-            .drop("ways", "likely"))
-    last = F.when(F.col("n") > limit, ways - 1).otherwise(0)
-    right = kept.join(texts, "digest", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), last)))
+            .withColumn("salts", F.coalesce("ways", F.lit(1))).drop("ways", "likely"))
+    right = _copies(kept.join(texts, "digest", "left").withColumn(
+        "salts", F.when(F.col("n") > limit, ways).otherwise(1))).drop("salts")
     differs = (F.col("n") > 1) & ~F.col("text").eqNullSafe(F.col("kept_text"))
     return (left.join(right, ["digest", "salt"])
-            .select("id", "file", "row", "sha256", "digest", "kept", "n", F.when(differs, F.col("text")).alias("other")))
+            .select("id", "file", "row", "sha256", "digest", "salt", "salts", "kept", "n",
+                    F.when(differs, F.col("text")).alias("other")))
+
+
+def _copies(df: DataFrame) -> DataFrame:
+    """A row for each of its ``salts``."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
 
 
 def duplicates(spark: SparkSession, path: str, state: str | None = None, id_col: str = "doc_id",
@@ -154,12 +160,12 @@ def duplicates(spark: SparkSession, path: str, state: str | None = None, id_col:
     kept = cut(retained(spark, state))
     rows = cut(checked(spark, path, kept, id_col, text_col, digest))
     apart = rows.where("other IS NOT NULL")
-    own = apart.groupBy("digest", "other").agg(F.max(F.struct("id", "file", "row")).alias("own_kept"),
-                                               F.count(F.lit(1)).alias("own_n"))
-    fewer = apart.groupBy("digest").agg(F.count(F.lit(1)).alias("less"))
+    own = _copies(apart.groupBy("digest", "salts", "other").agg(
+        F.max(F.struct("id", "file", "row")).alias("own_kept"), F.count(F.lit(1)).alias("own_n"))).drop("salts")
+    fewer = _copies(apart.groupBy("digest", "salts").agg(F.count(F.lit(1)).alias("less"))).drop("salts")
     keep = F.coalesce("own_kept", "kept")
     size = F.coalesce(F.col("own_n"), F.col("n") - F.coalesce("less", F.lit(0)))
-    return (rows.join(own, ["digest", "other"], "left").join(fewer, "digest", "left")
+    return (rows.join(own, ["digest", "salt", "other"], "left").join(fewer, ["digest", "salt"], "left")
             .select(F.col("id").alias(id_col), keep["id"].alias("keep_id"), size.cast("bigint").alias("group_size"),
                     ((keep["file"] == F.col("file")) & (keep["row"] == F.col("row"))).alias("kept"),
                     F.col("sha256").alias("text_sha256")))
