@@ -15,7 +15,7 @@ SHARDS = 8
 #: Bits of the filters of frequent phrases; a fuller filter costs work, not results.
 FILTER_BITS = 1 << 26
 #: Bytes of text held at once in a task, which bound its memory; a longer text makes a chunk of its own.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 2_000_000
 
 # Letters put in lower case, characters that end a piece, blanks between words.
 _TABLE = bytes(32 if b == 9 else 10 if chr(b) in ".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
