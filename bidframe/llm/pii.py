@@ -65,7 +65,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the base, by kind as listed and then start."""
     found = [("email", s, e) for s, e in _emails(text)]
     found += [("ip", m.start(), m.end()) for m in IP.finditer(text)
-              if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+              if all(len(p) <= 3 and int(p or 0) <= 255 for p in (q.lstrip("0") for q in m[0].split(".")))]
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 16 <= len(digits) <= 19 and luhn(digits):

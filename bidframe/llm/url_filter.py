@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from bidframe.llm.common import cut, rows_of
 
 #: (verdict, host, path prefix): a rule fits its host and all hosts below it.
-RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("allow", "example.org", "/en/1"),
+RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: Longest word a label is split into; buckets of the token counts; pseudo-count.
 LONGEST, BUCKETS, ALPHA = 24, 1 << 15, 0.5

@@ -112,7 +112,7 @@ def test_url_parts_and_rules(spark):
     host, path = uf.host_path(F.col("url"))
     rule, verdict = uf.rule_of(host, path)
     got = rows(frame.select("page_id", host.alias("h"), path.alias("p"), rule.alias("r"), verdict.alias("v")), "*")
-    assert got == [(0, "www.example.org", "/es/1", "example.org/es/", "block"), (1, "a.example.org", "/en/17", "example.org/en/1", "allow"),
+    assert got == [(0, "www.example.org", "/es/1", "example.org/es/", "block"), (1, "a.example.org", "/en/17", "example.org/en/1", "block"),
                    (2, "b.org", "", None, None), (3, "c.com", "/fr/x", "com/fr/", "allow"), (4, "c.com", "/de/", "com/de/", "block"),
                    (5, "com.net", "/fr/", None, None), (6, "", "", None, None), (7, "", "", None, None),
                    (8, "xcom", "/fr/", None, None), (9, "http:", "//a.com/fr/", None, None)]
