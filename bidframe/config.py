@@ -50,3 +50,15 @@ class HeaderThresholds:
     def __post_init__(self):
         if not 0 <= self.low <= self.medium <= self.high <= 100:
             raise ValueError("thresholds must satisfy 0 <= low <= medium <= high <= 100")
+
+
+@dataclass(frozen=True)
+class DetectionWindow:
+    """Rows of a sheet in which its header is sought, and rows that are looked at in all."""
+
+    header_rows: int = 30
+    sample_rows: int = 100
+
+    def __post_init__(self):
+        if not 0 < self.header_rows <= self.sample_rows:
+            raise ValueError("the header rows must lie among the sampled rows")

@@ -1,19 +1,24 @@
-"""Text similarity: token-set logic is native, only the character LCS runs in Python.
+"""Text similarity by built-in expressions; ratios are 100 * (1 - (|a| + |b| - 2 LCS) / (|a| + |b|)).
 
-Ratios are the textbook indel ratio 100 * (1 - (|a| + |b| - 2 LCS) / (|a| + |b|)).
+The longest common subsequence is bit-parallel (Allison-Dix 1986, Hyyro 2004): one bit for each
+character of the shorter text, one aggregate step for each of the longer. Up to 62 characters fit
+a word; longer texts take several words with a carry. The noncharacter U+FFFF must not occur.
 """
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import DoubleType, IntegerType
 
-# Workers get the small helpers below with the task, whether or not they can import us.
+# Workers that score headers get the small helpers below with the task, whether or not they can import us.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+WORD_BITS = 62
+_FULL = (1 << WORD_BITS) - 1
+_MARK = "\uffff"
+
 
 def lcs_length(a: str, b: str) -> int:
     """Bit-parallel longest common subsequence (Allison-Dix 1986, Hyyro 2004)."""
@@ -43,26 +48,115 @@ def _best_window(a: str, b: str) -> float:
                for s, t in tries for start in range(1 - n, len(t)))
 
 
-def _per_distinct_pair(measure, a: pd.Series, b: pd.Series) -> pd.Series:
-    """Measure every distinct pair of an Arrow batch once; a null side gives null."""
-    seen: dict = {}
-    out = []
-    for pair in zip(a, b):
-        if pair not in seen:
-            seen[pair] = None if pair[0] is None or pair[1] is None else measure(*pair)
-        out.append(seen[pair])
-    return pd.Series(out, dtype="object")
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _chars(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
+def _masks(text: Column) -> Column:
+    """Character to the bits of its places; the first character has the highest bit."""
+    def bits(c: Column) -> Column:
+        marked = F.regexp_replace(F.replace(text, c, F.lit(_MARK)), f"[^{_MARK}]", "0")
+        return F.conv(F.replace(marked, F.lit(_MARK), F.lit("1")), 2, 10).cast("bigint")
+
+    return _let(F.array_distinct(_chars(text)), lambda cs: F.map_from_arrays(cs, F.transform(cs, bits)))
+
+
+def _found(masks: Column, chars: Column) -> Column:
+    return _let(masks, lambda held: F.transform(
+        chars, lambda c: F.coalesce(F.element_at(held, c), F.lit(0).cast("bigint"))))
+
+
+def _ones(n: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), n.cast("int")) - 1
+
+
+def _matched(masks: Column, n: Column) -> Column:
+    """LCS with a text of ``n`` <= WORD_BITS characters, from the masks of the other's characters, last first."""
+    def step(v: Column, m: Column) -> Column:
+        return ((v + v.bitwiseAND(m)).bitwiseOR(v - v.bitwiseAND(m))).bitwiseAND(_ones(n))
+
+    return n - F.bit_count(F.aggregate(masks, _ones(n), step))
+
 
+def _lcs_word(short: Column, long: Column) -> Column:
+    return _matched(_found(_masks(short), _chars(F.reverse(long))), F.length(short))
 
-@F.pandas_udf(IntegerType())
-def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
-    return _per_distinct_pair(lcs_length, a, b)
 
+def _lcs_words(short: Column, long: Column) -> Column:
+    """The same over several words; the sum of one word carries into the next."""
+    n = F.length(short)
+    last = F.ceil(n / WORD_BITS).cast("int") - 1
+    # Word w holds the characters that end w words before the end of the text.
+    stop = lambda w: n - w * WORD_BITS
+    size = lambda w: F.least(stop(w), F.lit(WORD_BITS))
+    piece = lambda w: F.substring(short, stop(w) - size(w) + 1, size(w))
+    every = F.sequence(F.lit(0), last)
+    steps = _let(F.transform(every, lambda w: _masks(piece(w))), lambda maps: F.transform(
+        _chars(F.reverse(long)), lambda c: F.transform(maps, lambda m: F.coalesce(F.element_at(m, c), F.lit(0).cast("bigint")))))
 
-@F.pandas_udf(DoubleType())
-def partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Best ratio of the shorter text against windows of the longer one."""
-    return _per_distinct_pair(_best_window, a, b)
+    def word(acc: Column, x: Column) -> Column:
+        return _let(x["v"].bitwiseAND(x["m"]), lambda u: _let(x["v"] + u + acc["carry"], lambda total: F.struct(
+            F.concat(acc["out"], F.array(total.bitwiseAND(F.lit(_FULL)).bitwiseOR(x["v"] - u))).alias("out"),
+            F.shiftright(total, WORD_BITS).alias("carry"))))
+
+    def step(v: Column, m: Column) -> Column:
+        pairs = F.zip_with(v, m, lambda x, y: F.struct(x.alias("v"), y.alias("m")))
+        return F.aggregate(pairs, F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("bigint").alias("carry")),
+                           word, lambda acc: acc["out"])
+
+    state = F.aggregate(steps, F.transform(every, lambda w: F.lit(_FULL)), step)
+    zeros = F.zip_with(state, F.transform(every, size), lambda v, k: k - F.bit_count(v.bitwiseAND(_ones(k))))
+    return F.aggregate(zeros, F.lit(0), lambda x, y: x + y.cast("int"))
+
+
+def _by_length(a: Column, b: Column) -> Column:
+    """(short, long); null where a side is."""
+    both = F.when(F.length(a) <= F.length(b), F.struct(a.alias("s"), b.alias("t"))).otherwise(
+        F.struct(b.alias("s"), a.alias("t")))
+    return F.when(a.isNotNull() & b.isNotNull(), both)
+
+
+def lcs(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence; null where a side is."""
+    return _let(_by_length(a, b), lambda p: F.when(p.isNotNull(), F.when(
+        F.length(p["s"]) <= WORD_BITS, _lcs_word(p["s"], p["t"])).otherwise(_lcs_words(p["s"], p["t"]))))
+
+
+def _window_best(short: Column, long: Column) -> Column:
+    """Best ratio of ``short`` (one character or more) to windows of its length in ``long``, cut off at both ends.
+
+    A window that ends (one cut off at the right: begins) with a character foreign to ``short`` is no
+    better than its neighbour, so only the others are tried.
+    """
+    n, m = F.length(short), F.length(long)
+    starts = F.sequence(1 - n, m - 1)
+    begin = lambda s: F.greatest(s, F.lit(0))
+    size = lambda s: F.least(s + n, m) - begin(s)
+    ratio = lambda common, s: 200.0 * common / (n + size(s))
+    # Places of the reversed text: a window that ends at place e begins there m - e.
+    edge = lambda s: F.when(s + n <= m, begin(s) + size(s)).otherwise(begin(s) + 1)
+    one = _let(_found(_masks(short), _chars(F.reverse(long))), lambda ms: F.array_max(F.transform(
+        F.filter(starts, lambda s: F.element_at(ms, m - edge(s) + 1) != 0),
+        lambda s: ratio(_matched(F.slice(ms, m - begin(s) - size(s) + 1, size(s)), n), s))))
+    many = F.array_max(F.transform(starts, lambda s: ratio(lcs(short, F.substring(long, begin(s) + 1, size(s))), s)))
+    return F.coalesce(F.when(n <= WORD_BITS, one).otherwise(many), F.lit(0.0))
+
+
+def partial_ratio(a: Column, b: Column) -> Column:
+    """Best ratio of the shorter text against windows of the longer one; null where a side is."""
+    def best(p: Column) -> Column:
+        s, t = p["s"], p["t"]
+        return (F.when(F.length(s) == 0, F.when(F.length(t) == 0, 100.0).otherwise(0.0))
+                .when(F.contains(t, s), 100.0)
+                .when(F.length(s) == F.length(t), F.greatest(_window_best(s, t), _window_best(t, s)))
+                .otherwise(_window_best(s, t)))
+
+    return _let(_by_length(a, b), lambda p: F.when(p.isNotNull(), best(p)))
 
 
 def _phrase_ratio(header: str, alias: str, floor: float) -> float:
@@ -93,13 +187,6 @@ def _phrase_ratio(header: str, alias: str, floor: float) -> float:
     return best
 
 
-@F.pandas_udf(DoubleType())
-def phrase_ratio(header: pd.Series, alias: pd.Series, floor: pd.Series) -> pd.Series:
-    """Likeness of a header to a catalogue phrase; a null header gives null."""
-    return pd.Series([None if h is None else _phrase_ratio(h, a, f)
-                      for h, a, f in zip(header, alias, floor)], dtype="object")
-
-
 def indel_ratio(a: Column, b: Column) -> Column:
     total = F.length(a) + F.length(b)
     return F.when(total == 0, F.lit(100.0)).otherwise(

@@ -78,6 +78,11 @@ def item_rows(cells: DataFrame, header_rows: DataFrame) -> DataFrame:
         clean_text(lead(0)).alias("item_id"), clean_text(lead(1)).alias("description"),
         clean_text(lead(2)).alias("third"), clean_text(lead(3)).alias("unit"),
         parse_locale_number(lead(4)).alias("quantity")))
+    return with_reason(rows)
+
+
+def with_reason(rows: DataFrame) -> DataFrame:
+    """Rows of a matrix with ``reason`` why one is no item, and their unit from the first cell that has one."""
     absent = F.concat_ws("; ", F.when(F.col("description").isNull(), "descrição do item ausente"),
                          F.when(F.col("quantity").isNull(), "quantidade ausente"))
     reason = (F.when(F.col("item_id").isNull(), "linha sem identificador de item")

@@ -65,8 +65,13 @@ def reason_text() -> Column:
     return F.when(reasons == "", "registro incompleto").otherwise(reasons)
 
 
+def sheet_row(rows: DataFrame) -> Column:
+    """Number of the line in its sheet: a column of its own where a line gives several quotes."""
+    return F.col("sheet_row" if "sheet_row" in rows.columns else "source_row")
+
+
 def _discard(rows: DataFrame, reason: Column) -> DataFrame:
-    return rows.select("rfq_id", F.col("source_row").alias("sheet_row"), reason.alias("reason"),
+    return rows.select("rfq_id", sheet_row(rows).alias("sheet_row"), reason.alias("reason"),
                        F.coalesce(clean_text(F.col("description")), F.lit("")).alias("description"),
                        F.coalesce(clean_text(F.col("supplier")), F.lit("")).alias("supplier"))
 
@@ -182,10 +187,10 @@ def _with_first_rows(df: DataFrame, keys: list[str], limit: int = 10) -> DataFra
 
     The rank limit reaches the scan side, so only ``limit`` rows per group are gathered.
     """
-    first = (df.select(*keys, "source_row")
+    first = (df.select(*keys, "source_row", sheet_row(df).alias("_line"))
              .withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("source_row")))
              .where(F.col("_n") <= limit).groupBy(*keys)
-             .agg(F.array_sort(F.collect_list("source_row")).alias("_rows")))
+             .agg(F.array_sort(F.collect_list("_line")).alias("_rows")))
     total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
     listed = F.array_join(F.transform("_rows", lambda r: r.cast("string")), ", ")
     return total.join(first, keys).select(*keys, "rows", listed.alias("first_rows"))

@@ -212,49 +212,109 @@ def no_context(df: DataFrame) -> DataFrame:
 # --- header row, data start, columns -------------------------------------------------
 
 
-def find_header_row(cells: DataFrame, th: HeaderThresholds = HeaderThresholds(),
-                    header_rows: int = HEADER_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Header row of each sheet with its score; sheets without a sign get row 0."""
+def contained_lengths(norms: DataFrame, extra=None) -> DataFrame:
+    """``norm`` and the length of the longest phrase that stands in it as whole words, where one does."""
+    known = exact_phrases(norms.sparkSession, extra).select(F.col("norm").alias("gram")).distinct()
+    longest = max(len(alias.split(" ")) for _, alias in phrases(extra))
+    words = F.split("norm", " ")
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.size(words), F.lit(longest))), lambda k: F.transform(
+        F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.array_join(F.slice(words, i, k), " "))))
+    # The phrase list is short whatever the sheets hold.
+    return (norms.select("norm", F.explode(F.array_distinct(grams)).alias("gram")).join(F.broadcast(known), "gram")
+            .groupBy("norm").agg(F.max(F.length("gram")).alias("inside")))
+
+
+def _row_points(high: Column, medium: Column, concepts: Column, named: Column) -> Column:
+    """Points of a row from its cells with high and medium confidence, their concepts and the core concepts."""
+    return (high * 18 + medium * 8 + concepts * 5 + F.col("cells") / F.col("width") * 10 + named
+            - F.when(F.col("numeric") >= 0.25, 55).otherwise(0) - F.col("row_idx") * 0.15)
+
+
+def _named_points(text: Column, price: Column) -> Column:
+    return F.when(text & price, 35).when(text | price, 12).otherwise(0)
+
+
+def open_rows(filled: DataFrame, width: DataFrame, th: HeaderThresholds = HeaderThresholds()) -> DataFrame:
+    """The rows (sheet, row_idx) that may win as header, by what equal and contained phrases alone tell.
+
+    They give every row a least number of points; at most, each cell with words adds a concept of high
+    confidence. A row whose most is below the least of another row of its sheet is out, and with it the
+    character scores of its cells. Sheets with a positional header have no open rows.
+    """
+    norms = filled.where("word").select("norm").distinct()
+    exact = F.broadcast(exact_phrases(filled.sparkSession).select("norm", "exact").dropDuplicates(["norm"]))
+    inside = contained_lengths(norms)
+    known = norms.join(exact, "norm", "left").join(inside, "norm", "left")
+    score = F.when(F.col("exact").isNotNull(), 100.0).otherwise(F.least(
+        F.lit(97.0), 88.0 + 9.0 * F.col("inside") / F.length("norm")))
+    sure = known.select("norm", "exact", confidence(score, th).alias("sure"), is_derived(F.col("norm")).alias("own"))
+    usable = F.col("word") & ~F.coalesce(F.col("own"), F.lit(False))
+    exact_one = F.when(usable, F.col("exact"))
+    rows = filled.join(sure.where("exact IS NOT NULL OR sure <> 'NONE' OR own"), "norm", "left").groupBy(*SHEET, "row_idx").agg(
+        F.count(F.lit(1)).alias("cells"), F.avg(F.col("number").cast("double")).alias("numeric"),
+        F.count(F.when(F.col("generic"), 1)).alias("generic"), F.count(F.when(usable, 1)).alias("words"),
+        F.count(F.when(usable & (F.col("sure") == "HIGH"), 1)).alias("high"),
+        F.count(F.when(usable & (F.col("sure") == "MEDIUM"), 1)).alias("medium"),
+        F.count_distinct(exact_one).alias("concepts"),
+        *[F.max(F.coalesce(exact_one == c, F.lit(False))).alias(f"has_{n}") for n, c in enumerate(REQUIRED)])
+    least = _row_points(F.col("high"), F.col("medium"), F.col("concepts"), _named_points(F.col("has_0"), F.col("has_1")))
+    most = _row_points(F.col("words"), F.lit(0), F.col("words"), F.lit(35))
+    bounds = rows.join(width, SHEET).withColumn("least", least).withColumn("most", most)
+    best = bounds.groupBy(*SHEET).agg(F.max("least").alias("bar"), F.max("generic").alias("positional"))
+    return (bounds.join(best, SHEET).where((F.col("most") >= F.col("bar")) & (F.col("positional") < GENERIC_LEAST))
+            .select(*SHEET, "row_idx"))
+
+
+#: Positional headers in a row that make it the header.
+GENERIC_LEAST = 6
+
+
+def find_header_row(cells: DataFrame, th: HeaderThresholds = HeaderThresholds(), header_rows: int = HEADER_ROWS,
+                    sample_rows: int = SAMPLE_ROWS, keep=lambda df: df) -> DataFrame:
+    """Header row of each sheet with its score; sheets without a sign get row 0.
+
+    Only cells of rows that may still win (``open_rows``) are scored character by character.
+    ``keep`` may write the steps that several others read.
+    """
     sample = sample_cells(cells, sample_rows)
     width = sample.groupBy(*SHEET).agg((F.max("col_idx") + 1).alias("width"))
-    filled = (sample.where(F.col("row_idx") < header_rows)
-              .withColumn("header", clean_text(F.col("value"))).where(F.col("header").isNotNull())
-              .withColumn("norm", normalize_header(F.col("header"))))
-    # A plain number shares at most a dot with one phrase: 48 points, so it names no concept.
-    words = filled if th.low <= 50 else filled.where(~F.col("norm").rlike(r"^[0-9]+(\.[0-9]+)?$"))
-    concepts = classify(no_context(words), th).select("norm", "concept", "confidence")
     digits = F.replace(F.regexp_replace("value", r"[^0-9,.\-]", ""), F.lit(","), F.lit("."))
-    rows = (filled.withColumn("numeric", digits.try_cast("double").isNotNull())
-            .join(concepts, "norm", "left").groupBy(*SHEET, "row_idx").agg(
+    # A plain number shares at most a dot with one phrase: 48 points, so it names no concept.
+    plain = F.lit(False) if th.low <= 50 else F.col("norm").rlike(r"^[0-9]+(\.[0-9]+)?$")
+    filled = keep(sample.where(F.col("row_idx") < header_rows)
+              .withColumn("header", clean_text(F.col("value"))).where(F.col("header").isNotNull())
+              .withColumn("norm", normalize_header(F.col("header")))
+              .withColumn("number", digits.try_cast("double").isNotNull())
+              .withColumn("generic", F.col("header").rlike(GENERIC_PATTERN))
+              .withColumn("word", ~plain & (F.col("norm") != "")))
+    tried = keep(filled.join(open_rows(filled, width, th), [*SHEET, "row_idx"], "left_semi"))
+    concepts = classify(no_context(tried.where("word").select("norm").distinct()), th).select("norm", "concept", "confidence")
+    rows = tried.join(concepts, "norm", "left").groupBy(*SHEET, "row_idx").agg(
         F.count(F.lit(1)).alias("cells"),
         F.count(F.when(F.col("confidence") == "HIGH", 1)).alias("high"),
         F.count(F.when(F.col("confidence") == "MEDIUM", 1)).alias("medium"),
         F.count_distinct("concept").alias("concepts"),
         F.max(F.coalesce(F.col("concept") == REQUIRED[0], F.lit(False))).alias("has_text"),
         F.max(F.coalesce(F.col("concept") == REQUIRED[1], F.lit(False))).alias("has_price"),
-        F.avg(F.col("numeric").cast("double")).alias("numeric"),
-        F.count(F.when(F.col("header").rlike(GENERIC_PATTERN), 1)).alias("generic")))
-    points = (F.col("high") * 18 + F.col("medium") * 8 + F.col("concepts") * 5
-              + F.col("cells") / F.col("width") * 10
-              + F.when(F.col("has_text") & F.col("has_price"), 35)
-              .when(F.col("has_text") | F.col("has_price"), 12).otherwise(0)
-              - F.when(F.col("numeric") >= 0.25, 55).otherwise(0) - F.col("row_idx") * 0.15)
-    generic = F.col("generic") >= 6
+        F.avg(F.col("number").cast("double")).alias("numeric"))
+    points = _row_points(F.col("high"), F.col("medium"), F.col("concepts"),
+                         _named_points(F.col("has_text"), F.col("has_price")))
     best = rows.join(width, SHEET).withColumn("points", points).groupBy(*SHEET).agg(
-        F.min(F.when(generic, F.col("row_idx"))).alias("generic_row"),
         F.min_by("row_idx", F.when(F.col("points") > 0, F.struct(
             (-F.col("points")).alias("p"), "row_idx"))).alias("scored_row"),
         F.max("points").alias("top"))
+    positional = (filled.where("generic").groupBy(*SHEET, "row_idx").agg(F.count(F.lit(1)).alias("n"))
+                  .where(F.col("n") >= GENERIC_LEAST).groupBy(*SHEET).agg(F.min("row_idx").alias("generic_row")))
     row = F.coalesce("generic_row", "scored_row", F.lit(0))
-    return width.join(best, SHEET, "left").select(
+    return width.join(best, SHEET, "left").join(positional, SHEET, "left").select(
         *SHEET, "width", row.cast("bigint").alias("header_row"),
         F.when(F.col("generic_row").isNotNull(), 40.0)
         .otherwise(F.round(F.greatest(F.coalesce("top", F.lit(0.0)), F.lit(0.0)), 2)).alias("header_score"))
 
 
-def find_data_start(cells: DataFrame, header_rows: DataFrame) -> DataFrame:
+def find_data_start(cells: DataFrame, header_rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """First later row with two filled cells, as a 1-based row number."""
-    sample = sample_cells(cells)
+    sample = sample_cells(cells, sample_rows)
     last = sample.groupBy(*SHEET).agg((F.max("row_idx") + 1).alias("rows"))
     later = (sample.where(F.col("value").isNotNull()).join(header_rows, SHEET)
              .where(F.col("row_idx") > F.col("header_row"))
@@ -265,9 +325,9 @@ def find_data_start(cells: DataFrame, header_rows: DataFrame) -> DataFrame:
                 F.col("header_row") + 2, F.col("rows") + 1)).cast("bigint").alias("data_start")))
 
 
-def sheet_headers(cells: DataFrame, header_rows: DataFrame) -> DataFrame:
+def sheet_headers(cells: DataFrame, header_rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Every column of each sheet with its cleaned header, normalized form and context."""
-    sample = sample_cells(cells)
+    sample = sample_cells(cells, sample_rows)
     columns = header_rows.select(*SHEET, "header_row", F.explode(
         F.sequence(F.lit(0), F.col("width") - 1)).alias("col_idx"))
     found = columns.join(sample.withColumnRenamed("row_idx", "header_row"),
@@ -290,9 +350,9 @@ def loose_number(c: Column) -> Column:
     return F.when(c.rlike(r"(?i)^[\sR$€£+-]*\d[\d.,\s]*$"), text.try_cast("double"))
 
 
-def column_profile(cells: DataFrame, header_rows: DataFrame) -> DataFrame:
+def column_profile(cells: DataFrame, header_rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Shape of the sampled values below the header of every column."""
-    body = (sample_cells(cells).where(F.col("value").isNotNull())
+    body = (sample_cells(cells, sample_rows).where(F.col("value").isNotNull())
             .join(header_rows.select(*SHEET, "header_row"), SHEET)
             .where(F.col("row_idx") > F.col("header_row"))
             .withColumn("text", strip(F.col("value")))
@@ -375,9 +435,10 @@ def detect_columns(headers: DataFrame, profile: DataFrame,
         guess.alias("from_content"))
 
 
-def select_sheet(columns: DataFrame, header_rows: DataFrame, cells: DataFrame) -> DataFrame:
+def select_sheet(columns: DataFrame, header_rows: DataFrame, cells: DataFrame,
+                 sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The sheet of each file that looks most like quotes."""
-    size = sample_cells(cells).groupBy(*SHEET).agg((F.max("row_idx") + 1).alias("rows"))
+    size = sample_cells(cells, sample_rows).groupBy(*SHEET).agg((F.max("row_idx") + 1).alias("rows"))
     facts = columns.groupBy(*SHEET).agg(
         F.count_distinct(F.when(F.col("concept").isin(*REQUIRED), F.col("concept"))).alias("required"),
         F.count_distinct(F.when(F.col("concept").isin(*USEFUL), F.col("concept"))).alias("useful"),
@@ -401,8 +462,11 @@ def suppliers_in_headers(headers: DataFrame) -> DataFrame:
     return headers.select(*SHEET, name.alias("supplier")).where("supplier <> ''").distinct()
 
 
-def detection_warnings(columns: DataFrame, header_rows: DataFrame) -> DataFrame:
-    """Notes on sheets whose header or core columns are doubtful, one row each."""
+def detection_warnings(columns: DataFrame, header_rows: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
+    """Notes on sheets whose header or core columns are doubtful, one row each.
+
+    ``manifest`` lists every sheet of every file; those without any cell are noted as empty.
+    """
     has = {c: F.max(F.coalesce(F.col("concept") == c, F.lit(False))) for c in REQUIRED}
     facts = columns.groupBy(*SHEET).agg(
         *[v.alias(c) for c, v in has.items()],
@@ -425,7 +489,11 @@ def detection_warnings(columns: DataFrame, header_rows: DataFrame) -> DataFrame:
         F.when(missing != "", F.concat(
             F.lit("Aba '"), F.col("sheet"),
             F.lit("' selecionada com baixa confiança para DESCRIPTION + UNIT_PRICE.")))))
-    return df.select(*SHEET, F.explode(notes).alias("warning"))
+    out = df.select(*SHEET, F.explode(notes).alias("warning"))
+    if manifest is None:
+        return out
+    empty = manifest.where("readable").join(header_rows.select(*SHEET), SHEET, "left_anti")
+    return out.unionByName(empty.select(*SHEET, F.lit("Aba vazia.").alias("warning")))
 
 
 # --- columns to concepts -------------------------------------------------------------

@@ -143,13 +143,56 @@ CTES["pairs"] = f"""SELECT q.rfq_id, q.item_id, q.supplier, i.description AS req
                              string_split(list_aggregate(q_tokens, 'string_agg', ' '), ''))) AS is_zero
     FROM quote_texts q JOIN item_texts i ON q.rfq_id = i.rfq_id AND q.item_id = i.item_id"""
 
-# Character LCS of the one-sided tokens, one row of the dynamic programme per step.
-CTES["text_pairs"] = """SELECT DISTINCT req_description, description, r_tokens, q_tokens,
-    list_aggregate(list_sort(list_filter(r_tokens, lambda t: list_contains(q_tokens, t))), 'string_agg', ' ') AS common,
-    list_aggregate(list_sort(list_filter(r_tokens, lambda t: NOT list_contains(q_tokens, t))), 'string_agg', ' ') AS only_r,
-    list_aggregate(list_sort(list_filter(q_tokens, lambda t: NOT list_contains(r_tokens, t))), 'string_agg', ' ') AS only_q
-    FROM (SELECT DISTINCT req_description, description, r_tokens, q_tokens FROM pairs
-          WHERE NOT is_full AND NOT is_zero)"""
+
+def lcs_sql(a: str, b: str) -> str:
+    """Longest common subsequence of two texts of up to 126 characters: bits of a 128-bit number."""
+    ones = f"((1::HUGEINT << length({a})) - 1)"
+    mask = (f"coalesce(list_sum(list_transform(range(length({a})), lambda i: CASE WHEN substring({a}, i + 1, 1) = ch "
+            f"THEN 1::HUGEINT << i ELSE 0::HUGEINT END)), 0)::HUGEINT")
+    steps = f"list_transform(list_filter(string_split({b}, ''), lambda x: x <> ''), lambda ch: {mask})"
+    state = (f"list_reduce(list_prepend({ones}, {steps}), "
+             f"lambda v, m: ((v + (v & m)) | (v - (v & m))) & {ones})")
+    return f"CASE WHEN length({a}) = 0 OR length({b}) = 0 THEN 0 ELSE length({a}) - bit_count({state}) END"
+
+
+def joined_sql(tokens: str) -> str:
+    return f"coalesce(list_aggregate(list_sort({tokens}), 'string_agg', ' '), '')"
+
+
+def set_score_sql(s: str, a: str, b: str, common: str) -> str:
+    """Token-set similarity from the joined shared and one-sided tokens and the LCS of the latter."""
+    n, x, y = f"length({s})", f"length({a})", f"length({b})"
+    sep = f"CASE WHEN {n} > 0 THEN 1 ELSE 0 END"
+    return f"""CASE WHEN {n} + {x} = 0 OR {n} + {y} = 0 THEN 0.0 WHEN {n} > 0 AND ({x} = 0 OR {y} = 0) THEN 100.0
+        ELSE greatest(100.0 - 100.0 * ({x} + {y} - 2 * {common}) / (2 * ({n} + {sep}) + {x} + {y}),
+            CASE WHEN {n} > 0 THEN 100.0 - 100.0 * (1 + {x}) / (2 * {n} + 1 + {x}) END,
+            CASE WHEN {n} > 0 THEN 100.0 - 100.0 * (1 + {y}) / (2 * {n} + 1 + {y}) END) END"""
+
+
+def token_scores_sql(source: str, x: str, y: str) -> str:
+    """``source`` with ``similarity`` of its token lists ``x`` and ``y``."""
+    parts = (f"{joined_sql(f'list_filter({x}, lambda t: list_contains({y}, t))')} AS sim_s, "
+             f"{joined_sql(f'list_filter({x}, lambda t: NOT list_contains({y}, t))')} AS sim_a, "
+             f"{joined_sql(f'list_filter({y}, lambda t: NOT list_contains({x}, t))')} AS sim_b")
+    return (f"SELECT * EXCLUDE (sim_s, sim_a, sim_b, sim_n), {set_score_sql('sim_s', 'sim_a', 'sim_b', 'sim_n')} AS similarity "
+            f"FROM (SELECT *, {lcs_sql('sim_a', 'sim_b')} AS sim_n FROM (SELECT *, {parts} FROM {source}))")
+
+
+# Distinct pairs of requested and quoted text, normalized.
+CTES["line_pairs"] = f"""SELECT *, {tokens_sql('a')} AS ta, {tokens_sql('b')} AS tb FROM (
+    SELECT req_description, description, {norm_sql('req_description')} AS a, {norm_sql('description')} AS b
+    FROM (SELECT DISTINCT req_description, description FROM lines))"""
+
+CTES["line_scores"] = token_scores_sql("line_pairs", "ta", "tb")
+
+# Scores of the quoted cells by their distinct texts; below 100 only these need characters.
+CTES["pair_scores"] = token_scores_sql("""(SELECT DISTINCT req_description, description, r_tokens, q_tokens FROM pairs)""",
+                                       "r_tokens", "q_tokens").replace(
+    "SELECT * EXCLUDE (sim_s", "SELECT * EXCLUDE (r_tokens, q_tokens, sim_s")
+
+CTES["full_statuses"] = """SELECT s.* EXCLUDE (eq_status), p.similarity, CASE WHEN s.eq_status <> 'PARCIAL' THEN s.eq_status
+    WHEN p.similarity >= 85 THEN 'EQUIVALENTE COM REVISÃO' WHEN p.similarity >= 65 THEN 'REVISAR' ELSE 'DIVERGENTE' END AS eq_status
+    FROM statuses s JOIN pair_scores p ON s.req_description = p.req_description AND s.description = p.description"""
 
 CTES["statuses"] = """SELECT *, CASE WHEN is_zero THEN 'NÃO COTADO'
     WHEN qty_check <> 'OK' OR unit_check <> 'OK' THEN 'DIVERGÊNCIA ESTRUTURAL'

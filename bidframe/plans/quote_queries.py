@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from bidframe.functions import commercial as com, numbers as num, similarity as sim, text
 from bidframe.operators import (analysis, equalize as eq, identity as ident, quality, scoring,
                                 source_profile as prof, views)
-from bidframe.plans.checks import (attrs_sql, days_sql, included_sql, informed_sql, key_sql,
+from bidframe.plans.checks import (attrs_sql, days_sql, included_sql, informed_sql, key_sql, lcs_sql,
                                    no_min_sql, norm_sql, tokens_sql)
 from bidframe.plans.registry import Inputs, query, rounded
 from bidframe.sources import sinks, tables
@@ -182,14 +182,26 @@ def _text_pairs(t: Inputs) -> DataFrame:
     return pairs.withColumn("ta", text.tokens(F.col("a"))).withColumn("tb", text.tokens(F.col("b")))
 
 
-
-@query("indel_ratio")
+@query("indel_ratio", f"""SELECT req_description, description, round(CASE WHEN length(a) + length(b) = 0 THEN 100.0
+    ELSE 100.0 - 100.0 * (length(a) + length(b) - 2 * ({lcs_sql('a', 'b')})) / (length(a) + length(b)) END, 4) AS ratio
+    FROM line_pairs""")
 def indel_ratio(t: Inputs) -> DataFrame:
     return _text_pairs(t).select("req_description", "description",
                                  F.round(sim.indel_ratio(F.col("a"), F.col("b")), 4).alias("ratio"))
 
 
-@query("partial_ratio")
+# Windows of the shorter text's length in the longer, cut off at both ends; of equally long texts both ways.
+_WINDOWS = """SELECT req_description, description, s, substring(t, greatest(i, 0) + 1, least(i + length(s), length(t)) - greatest(i, 0)) AS w
+    FROM (SELECT *, unnest(range(1 - length(s), length(t))) AS i FROM (
+        SELECT req_description, description, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS s,
+               CASE WHEN length(a) <= length(b) THEN b ELSE a END AS t FROM line_pairs
+        UNION ALL SELECT req_description, description, b, a FROM line_pairs WHERE length(a) = length(b)) WHERE length(s) > 0)"""
+
+
+@query("partial_ratio", f"""SELECT p.req_description, p.description, round(CASE WHEN length(a) + length(b) = 0 THEN 100.0
+    ELSE coalesce(best, 0.0) END, 4) AS ratio FROM line_pairs p LEFT JOIN (
+    SELECT req_description, description, max(200.0 * ({lcs_sql('s', 'w')}) / (length(s) + length(w))) AS best
+    FROM ({_WINDOWS}) GROUP BY req_description, description) USING (req_description, description)""")
 def partial_ratio(t: Inputs) -> DataFrame:
     return _text_pairs(t).select("req_description", "description",
                                  F.round(sim.partial_ratio(F.col("a"), F.col("b")), 4).alias("ratio"))
@@ -203,7 +215,7 @@ def _with_similarity(pairs: DataFrame) -> DataFrame:
         sim.lcs(F.col("_only_a"), F.col("_only_b"))))
 
 
-@query("token_set_similarity")
+@query("token_set_similarity", "SELECT req_description, description, round(similarity, 4) AS similarity FROM line_scores")
 def token_set_similarity(t: Inputs) -> DataFrame:
     return (_with_similarity(_text_pairs(t))
             .select("req_description", "description", F.round("similarity", 4).alias("similarity")))
@@ -219,11 +231,10 @@ def token_subset_match(t: Inputs) -> DataFrame:
                                  sim.subset_match(F.col("ta"), F.col("tb")).alias("is_full"))
 
 
-@query("similarity_band", """SELECT l_quantity, CASE WHEN l_quantity * 2 >= 85 THEN 'ALTA'
-    WHEN l_quantity * 2 >= 65 THEN 'REVISAR' ELSE 'BAIXA' END AS band, count(*) AS n
-    FROM lineitem GROUP BY l_quantity""")
+@query("similarity_band", """SELECT req_description, description, round(similarity, 4) AS similarity, CASE WHEN similarity >= 85
+    THEN 'ALTA' WHEN similarity >= 65 THEN 'REVISAR' ELSE 'BAIXA' END AS band FROM line_scores""")
 def similarity_band(t: Inputs) -> DataFrame:
-    """Band of each distinct pair of requested and quoted text; the SQL bands a stand-in number."""
+    """Band of each distinct pair of requested and quoted text."""
     pairs = _with_similarity(_text_pairs(t))
     return pairs.select("req_description", "description", F.round("similarity", 4).alias("similarity"),
                         sim.similarity_band(F.col("similarity"), 85.0, 65.0).alias("band"))
@@ -492,13 +503,18 @@ def compare_attributes(t: Inputs) -> DataFrame:
                                 *[v.alias(k) for k, v in facts.items()]), "attr_pct")
 
 
-@query("eq_status", """SELECT rfq_id, item_id, supplier, eq_status FROM statuses""")
+@query("eq_status", """SELECT rfq_id, item_id, supplier, eq_status FROM full_statuses""")
 def eq_status(t: Inputs) -> DataFrame:
-    """Status of every quoted cell; the SQL knows the three similarity bands below 100 only as 'PARCIAL'."""
     return t.chain.cells().select("rfq_id", "item_id", "supplier", "eq_status")
 
 
-@query("equalize")
+@query("equalize", """SELECT g.rfq_id, g.item_id, g.supplier, g.req_description, c.description, g.req_quantity, c.quantity,
+    g.req_unit, c.unit, c.unit_price, coalesce(round(c.similarity, 4), 0.0) AS similarity,
+    CASE WHEN c.rfq_id IS NULL THEN 0.0 WHEN attr_evaluated = 0 THEN 100.0
+         ELSE round((attr_evaluated - attr_divergences) * 100.0 / attr_evaluated, 4) END AS attr_pct,
+    coalesce(attr_divergences, 0) AS attr_divergences, coalesce(qty_check, 'NÃO COTADO') AS qty_check,
+    coalesce(unit_check, 'NÃO COTADO') AS unit_check, coalesce(eq_status, 'NÃO COTADO') AS eq_status
+    FROM grid g LEFT JOIN full_statuses c ON g.rfq_id = c.rfq_id AND g.item_id = c.item_id AND g.supplier = c.supplier""")
 def equalize(t: Inputs) -> DataFrame:
     return rounded(t.chain.grid, "similarity", "attr_pct")
 
@@ -643,16 +659,27 @@ _MISSING = """SELECT g.* FROM grid g LEFT JOIN (SELECT * FROM cells WHERE eq_sta
     ON g.rfq_id = c.rfq_id AND g.item_id = c.item_id AND g.supplier = c.supplier WHERE c.rfq_id IS NULL"""
 
 
+def _amount_sql(q: str, unit: str) -> str:
+    return f"concat_ws(' ', cast({q} AS varchar), {unit})"
+
+
 @query("alerts", f"""SELECT rfq_id, 'ALTA' AS priority, 'Divergência' AS kind, item_id, req_description AS description,
-        req_quantity AS quantity, req_unit AS unit, supplier FROM cells
+        req_quantity AS quantity, req_unit AS unit, supplier, concat(supplier, ' apresenta ', lower(eq_status), ' no item ', item_id,
+        ' (', req_description, '): ', {_amount_sql('req_quantity', 'req_unit')}, '.') AS message FROM cells
         WHERE eq_status IN ('DIVERGÊNCIA', 'DIVERGÊNCIA ESTRUTURAL')
-    UNION ALL SELECT rfq_id, 'ALTA', 'Não cotado', item_id, req_description, req_quantity, req_unit, supplier FROM ({_MISSING})
-    UNION ALL SELECT rfq_id, 'MÉDIA', 'Diferença de preço', item_id, description, quantity, unit, NULL FROM cmap WHERE spread_pct >= 30
-    UNION ALL SELECT rfq_id, 'MÉDIA', 'Pedido mínimo', NULL, NULL, NULL, NULL, supplier FROM indicators WHERE NOT no_min_order
-    UNION ALL SELECT rfq_id, 'MÉDIA', 'Frete', NULL, NULL, NULL, NULL, supplier FROM indicators WHERE freight_informed AND NOT freight_included
-    UNION ALL SELECT rfq_id, 'BAIXA', 'Frete', NULL, NULL, NULL, NULL, supplier FROM indicators WHERE NOT freight_informed""")
+    UNION ALL SELECT rfq_id, 'ALTA', 'Não cotado', item_id, req_description, req_quantity, req_unit, supplier,
+        concat(supplier, ' não cotou o item ', item_id, ' (', req_description, '), quantidade ',
+        {_amount_sql('req_quantity', 'req_unit')}, '.') FROM ({_MISSING})
+    UNION ALL SELECT rfq_id, 'MÉDIA', 'Diferença de preço', item_id, description, quantity, unit, NULL,
+        concat('O item ', item_id, ' (', description, '), quantidade ', {_amount_sql('quantity', 'unit')},
+        ', apresenta diferença de ', printf('%.2f', spread_pct), '% entre preços elegíveis.') FROM cmap WHERE spread_pct >= 30
+    UNION ALL SELECT rfq_id, 'MÉDIA', 'Pedido mínimo', NULL, NULL, NULL, NULL, supplier,
+        concat(supplier, ' possui pedido mínimo informado: ', min_order, '.') FROM indicators WHERE NOT no_min_order
+    UNION ALL SELECT rfq_id, 'MÉDIA', 'Frete', NULL, NULL, NULL, NULL, supplier,
+        concat(supplier, ' não apresenta frete incluso (', freight, ').') FROM indicators WHERE freight_informed AND NOT freight_included
+    UNION ALL SELECT rfq_id, 'BAIXA', 'Frete', NULL, NULL, NULL, NULL, supplier,
+        concat(supplier, ' não informou a condição de frete.') FROM indicators WHERE NOT freight_informed""")
 def alerts(t: Inputs) -> DataFrame:
-    """All alerts with their message, which the SQL does not write."""
     return analysis.alerts(t.items, t.marked, t.chain.suppliers, t.cmap, t.hot.grid)
 
 
@@ -780,13 +807,13 @@ def default_labels(t: Inputs) -> DataFrame:
 
 @query("compact_map", """SELECT g.rfq_id, g.item_id, g.req_description AS description, g.req_quantity AS quantity,
     g.req_unit AS unit, g.supplier, round(CASE WHEN c.price_eligible THEN c.unit_price END, 4) AS price,
-    coalesce(c.eq_status, 'NÃO COTADO') AS status, m.best_suppliers,
+    coalesce(f.eq_status, 'NÃO COTADO') AS status, m.best_suppliers,
     CASE WHEN b.rfq_id IS NULL THEN '' ELSE 'Melhor preço' END AS note
-    FROM grid g LEFT JOIN cells c ON g.rfq_id = c.rfq_id AND g.item_id = c.item_id AND g.supplier = c.supplier
+    FROM grid g LEFT JOIN full_statuses f ON g.rfq_id = f.rfq_id AND g.item_id = f.item_id AND g.supplier = f.supplier
+    LEFT JOIN cells c ON g.rfq_id = c.rfq_id AND g.item_id = c.item_id AND g.supplier = c.supplier
     LEFT JOIN cmap m ON g.rfq_id = m.rfq_id AND g.item_id = m.item_id
     LEFT JOIN best b ON g.rfq_id = b.rfq_id AND g.item_id = b.item_id AND g.supplier = b.supplier""")
 def compact_map(t: Inputs) -> DataFrame:
-    """Map with the full status; the SQL knows the similarity bands below 100 only as 'PARCIAL'."""
     from bidframe.plans.report import map_grid
     out = views.compact_map(map_grid(t), t.cmap.select("rfq_id", "item_id", "best_suppliers"))
     return rounded(out.withColumn("best_suppliers", F.array_join("best_suppliers", ", ")), "price")
@@ -810,15 +837,18 @@ def kpi_rows(t: Inputs) -> DataFrame:
                           .select("rfq_id", *_KPI_NAMES, "max_spread_pct"))
 
 
-@query("severity_band", """SELECT rfq_id, item_id, supplier,
-    CASE WHEN eq_status IN ('NÃO COTADO', 'DIVERGÊNCIA', 'DIVERGÊNCIA ESTRUTURAL') THEN 'bad'
-         WHEN eq_status = 'EQUIVALENTE' THEN 'good' END AS status_band,
-    CASE WHEN qty_check = 'OK' THEN 'good' ELSE 'bad' END AS qty_band,
+@query("severity_band", """SELECT r.rfq_id, r.item_id, r.supplier,
+    CASE WHEN f.eq_status IN ('NÃO COTADO', 'DIVERGÊNCIA', 'DIVERGÊNCIA ESTRUTURAL', 'DIVERGENTE') THEN 'bad'
+         WHEN f.eq_status = 'EQUIVALENTE COM REVISÃO' THEN 'medium' WHEN f.eq_status = 'EQUIVALENTE' THEN 'good' END AS status_band,
+    CASE WHEN r.qty_check = 'OK' THEN 'good' ELSE 'bad' END AS qty_band,
     CASE WHEN score_class = 'NÃO RECOMENDADO' THEN 'bad' WHEN score_class = 'EXCELENTE' THEN 'good' ELSE 'medium' END AS class_band,
     CASE WHEN final_score >= 90 THEN 'good' WHEN final_score >= 60 THEN 'medium' ELSE 'plain' END AS score_band,
-    CASE WHEN eligible THEN 'good' ELSE 'bad' END AS eligible_band FROM ranked WHERE eq_status <> 'PARCIAL'""")
+    CASE WHEN spread_pct <= 5 THEN 'good' WHEN spread_pct <= 15 THEN 'medium' WHEN spread_pct IS NOT NULL THEN 'bad' END AS spread_band,
+    CASE WHEN eligible THEN 'good' ELSE 'bad' END AS eligible_band
+    FROM ranked r JOIN full_statuses f ON r.rfq_id = f.rfq_id AND r.item_id = f.item_id AND r.supplier = f.supplier
+    LEFT JOIN cmap m ON r.rfq_id = m.rfq_id AND r.item_id = m.item_id""")
 def severity_band(t: Inputs) -> DataFrame:
-    """Bands of every scored cell and of its item's spread; the SQL leaves out the similarity bands below 100."""
+    """Bands of every scored cell and of its item's spread."""
     spread = t.cmap.select("rfq_id", "item_id", "spread_pct")
     return (t.chain.scored(exact_similarity=True).join(spread, ["rfq_id", "item_id"], "left")
             .select("rfq_id", "item_id", "supplier",

@@ -4,8 +4,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from bidframe.functions.text import stable_key
-from bidframe.operators import matrix as mx, schema_match as sm, scoring, views
+from bidframe.operators import matrix as mx, schema_match as sm, scoring, sheet_import as si, views
 from bidframe.operators.concepts import CONCEPTS, phrases
+from bidframe.plans.checks import lcs_sql, token_scores_sql
+from bidframe.plans.detection import Detection
+from bidframe.plans.from_sheets import SheetImport
 from bidframe.plans.registry import CTES, Inputs, query, rounded
 from bidframe.sources import sheets
 
@@ -43,65 +46,68 @@ CTES["sheet_context"] = ("SELECT file, sheet, " + ", ".join(
 _BONUS = "CASE concept " + " ".join(
     f"WHEN '{k}' THEN CASE WHEN ctx_{k} THEN {p} ELSE 0 END" for k, (p, _) in sm.CONTEXT.items()) + " ELSE 0 END"
 
-# Phrase scores without the character-level ratios: exact, contained, or one token set
-# within the other. Every header style used here is decided by these or has no concept.
-_PLAIN_SCORE = """CASE WHEN norm = alias THEN 100.0
-    WHEN regexp_matches(norm, '(^|[^a-z0-9_])' || replace(alias, '.', '\\.') || '($|[^a-z0-9_])')
-        THEN least(97.0, 88.0 + 9.0 * length(alias) / length(norm))
-    WHEN list_has_all(string_split(norm, ' '), string_split(alias, ' '))
-      OR list_has_all(string_split(alias, ' '), string_split(norm, ' ')) THEN 100.0 END"""
-
-CTES["head_scores"] = f"""SELECT norm, {', '.join('ctx_' + k for k in sm.CONTEXT)}, concept, max(least(100.0, base + {_BONUS})) AS score
-    FROM (SELECT norm, {', '.join('ctx_' + k for k in sm.CONTEXT)}, concept, {_PLAIN_SCORE} AS base
-          FROM (SELECT DISTINCT norm, {', '.join('ctx_' + k for k in sm.CONTEXT)} FROM sheet_heads
-                JOIN sheet_context USING (file, sheet)) CROSS JOIN alias_list)
-    WHERE base IS NOT NULL GROUP BY ALL"""
+_FLAGS = ", ".join(f"ctx_{k}" for k in sm.CONTEXT)
+_SAME_FLAGS = " AND ".join("{0}.ctx_%s = {1}.ctx_%s" % (k, k) for k in sm.CONTEXT)
+
+# Every distinct header with every phrase: equal, contained as words, or the best of the character ratios.
+CTES["phrase_pairs"] = r"""SELECT norm, n, concept, alias, norm = alias AS equal,
+    regexp_matches(norm, '(^|[^a-z0-9_])' || replace(alias, '.', '\.') || '($|[^a-z0-9_])') AS inside,
+    list_distinct(list_filter(string_split(norm, ' '), lambda t: t <> '')) AS ta,
+    list_distinct(string_split(alias, ' ')) AS tb
+    FROM (SELECT DISTINCT norm FROM sheet_heads) CROSS JOIN alias_list"""
+
+CTES["phrase_tokens"] = token_scores_sql("phrase_pairs", "ta", "tb")
+
+CTES["phrase_windows"] = f"""SELECT norm, n, max(200.0 * ({lcs_sql('s', 'w')}) / (length(s) + length(w))) AS part FROM (
+    SELECT norm, n, s, substring(t, greatest(i, 0) + 1, least(i + length(s), length(t)) - greatest(i, 0)) AS w
+    FROM (SELECT *, unnest(range(1 - length(s), length(t))) AS i FROM (
+        SELECT norm, n, CASE WHEN length(norm) <= length(alias) THEN norm ELSE alias END AS s,
+               CASE WHEN length(norm) <= length(alias) THEN alias ELSE norm END AS t
+        FROM phrase_pairs WHERE NOT equal AND NOT inside AND length(alias) >= 4
+        UNION ALL SELECT norm, n, alias, norm FROM phrase_pairs
+        WHERE NOT equal AND NOT inside AND length(alias) >= 4 AND length(norm) = length(alias)) WHERE length(s) > 0))
+    GROUP BY norm, n"""
+
+CTES["phrase_scores"] = f"""SELECT p.norm, p.n, p.concept, p.alias, CASE WHEN equal THEN 100.0
+    WHEN inside THEN least(97.0, 88.0 + 9.0 * length(p.alias) / length(p.norm))
+    ELSE greatest(100.0 - 100.0 * (length(p.norm) + length(p.alias) - 2 * ({lcs_sql('p.norm', 'p.alias')}))
+        / (length(p.norm) + length(p.alias)), similarity, 0.96 * coalesce(part, 0.0)) END AS base
+    FROM phrase_tokens p LEFT JOIN phrase_windows w ON p.norm = w.norm AND p.n = w.n"""
+
+CTES["head_scores"] = f"""SELECT *, row_number() OVER (PARTITION BY norm, {_FLAGS} ORDER BY score DESC, priority DESC, cn) AS place
+    FROM (SELECT norm, {_FLAGS}, concept, round(max(s), 2) AS score, arg_min(alias, (-s, n)) AS alias
+          FROM (SELECT p.norm, {_FLAGS}, concept, alias, n, least(100.0, base + {_BONUS}) AS s
+                FROM (SELECT DISTINCT norm, {_FLAGS} FROM sheet_heads JOIN sheet_context USING (file, sheet)) c
+                JOIN phrase_scores p ON c.norm = p.norm)
+          GROUP BY norm, {_FLAGS}, concept)
+    JOIN (SELECT n AS cn, concept, priority FROM concept_list) USING (concept)"""
 
 _DERIVED = "list_has_any(string_split(norm, ' '), [" + ", ".join(f"'{w}'" for w in sm.DERIVED_WORDS) + "])"
 
-CTES["head_class"] = f"""SELECT h.file, h.sheet, h.layout, h.col_idx, h.header, h.norm,
-    CASE WHEN {_DERIVED.replace('norm', 'h.norm')} THEN NULL ELSE coalesce(x.concept, s.concept) END AS concept,
-    CASE WHEN {_DERIVED.replace('norm', 'h.norm')} THEN 0.0 WHEN x.concept IS NOT NULL THEN 100.0
-         ELSE round(s.score, 2) END AS score
-    FROM sheet_heads h JOIN sheet_context c USING (file, sheet)
-    LEFT JOIN alias_list x ON h.norm = x.alias
-    LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY norm, {', '.join('ctx_' + k for k in sm.CONTEXT)}
-        ORDER BY score DESC, priority DESC, n) AS place FROM head_scores JOIN concept_list USING (concept)) s
-    ON s.place = 1 AND h.norm = s.norm AND {' AND '.join(f'c.ctx_{k} = s.ctx_{k}' for k in sm.CONTEXT)}"""
+# Concept of each distinct header and context: the exact phrase, else the best score unless low or close.
+CTES["norm_class"] = f"""SELECT norm, {_FLAGS}, CASE WHEN derived OR (exact IS NULL AND unsure) THEN NULL ELSE coalesce(exact, best) END AS concept,
+    CASE WHEN derived THEN 0.0 WHEN exact IS NOT NULL THEN 100.0 ELSE score END AS score,
+    CASE WHEN derived THEN 'NONE' WHEN exact IS NOT NULL THEN 'HIGH' WHEN unsure THEN 'NONE' WHEN score >= 92 THEN 'HIGH'
+         WHEN score >= 78 THEN 'MEDIUM' ELSE 'LOW' END AS confidence,
+    CASE WHEN derived THEN NULL WHEN exact IS NOT NULL THEN first_alias ELSE alias END AS alias
+    FROM (SELECT a.norm, {', '.join('a.ctx_' + k for k in sm.CONTEXT)}, a.concept AS best, a.score, a.alias, x.concept AS exact, f.first_alias,
+              {_DERIVED.replace('norm', 'a.norm')} OR a.norm = '' AS derived,
+              a.score < 62 OR (a.score < 78 AND a.score - coalesce(b.score, 0.0) < 3.0) AS unsure
+          FROM head_scores a LEFT JOIN head_scores b ON b.place = 2 AND a.norm = b.norm AND {_SAME_FLAGS.format('a', 'b')}
+          LEFT JOIN alias_list x ON a.norm = x.alias
+          LEFT JOIN (SELECT concept, arg_min(alias, n) AS first_alias FROM alias_list GROUP BY concept) f ON x.concept = f.concept
+          WHERE a.place = 1)"""
+
+CTES["head_class"] = f"""SELECT h.file, h.sheet, h.header_row, h.layout, h.col_idx, h.header, h.norm, n.concept, n.score, n.confidence, n.alias
+    FROM sheet_heads h JOIN sheet_context c USING (file, sheet) JOIN norm_class n ON h.norm = n.norm AND {_SAME_FLAGS.format('c', 'n')}"""
 
 
-class Sheets:
-    """Lazy sheet tables of one data folder."""
+class Sheets(Detection):
+    """Detected sheets of one data folder."""
 
     def __init__(self, t: Inputs):
+        super().__init__(sheets.sheet_cells(t.lines))
         self.t = t
-        self.cells = sheets.sheet_cells(t.lines)
-        self._memo: dict[str, DataFrame] = {}
-
-    def _once(self, name, build):
-        if name not in self._memo:
-            self._memo[name] = build()
-        return self._memo[name]
-
-    @property
-    def rows(self) -> DataFrame:
-        return self._once("rows", lambda: sm.find_header_row(self.cells))
-
-    @property
-    def headers(self) -> DataFrame:
-        return self._once("headers", lambda: sm.sheet_headers(self.cells, self.rows))
-
-    @property
-    def profile(self) -> DataFrame:
-        return self._once("profile", lambda: sm.column_profile(self.cells, self.rows))
-
-    @property
-    def columns(self) -> DataFrame:
-        return self._once("columns", lambda: sm.detect_columns(self.headers, self.profile))
-
-    @property
-    def resolved(self) -> DataFrame:
-        return self._once("resolved", lambda: sm.resolve_columns(self.columns))
 
 
 # --- sources -------------------------------------------------------------------------
@@ -118,13 +124,6 @@ def sheet_grid(t: Inputs) -> DataFrame:
     return Sheets(t).cells
 
 
-@query("project_concepts")
-def project_concepts(t: Inputs) -> DataFrame:
-    s = Sheets(t)
-    mapped = sm.column_map(s.resolved, sm.generic_layout(s.headers))
-    return sm.project_concepts(s.cells, s.rows, mapped)
-
-
 @query("manual_mapping", """SELECT file, sheet, 'UNIT_PRICE' AS concept, CASE WHEN layout IN (0, 3) THEN 5 END AS col_idx,
     CASE WHEN layout NOT IN (0, 3) THEN 'coluna_manual_inexistente' END AS problem FROM header_at WHERE sheet = 'Dados'
     UNION ALL SELECT file, sheet, 'QUANTITY', CASE WHEN layout = 0 THEN NULL ELSE 2 END,
@@ -183,18 +182,9 @@ def match_exact_alias(t: Inputs) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-@query("score_alias", f"""SELECT norm, concept, alias, round({_PLAIN_SCORE}, 4) AS score
-    FROM (SELECT DISTINCT norm FROM sheet_heads) CROSS JOIN alias_list
-    WHERE norm = alias OR regexp_matches(norm, '(^|[^a-z0-9_])' || replace(alias, '.', '\\.') || '($|[^a-z0-9_])')""")
+@query("score_alias", "SELECT norm, concept, alias, round(base, 4) AS score FROM phrase_scores")
 def score_alias(t: Inputs) -> DataFrame:
-    """Every header with every phrase; the SQL shows only equal and contained ones, it has no fuzzy score."""
-    return rounded(sm.alias_scores(Sheets(t).headers, every=True).select(
-        "norm", "concept", "alias", F.col("base").alias("score")), "score")
-
-
-@query("header_scores")
-def header_scores(t: Inputs) -> DataFrame:
-    """Every header with every phrase, as in score_alias."""
+    """Every distinct header with every phrase."""
     return rounded(sm.alias_scores(Sheets(t).headers, every=True).select(
         "norm", "concept", "alias", F.col("base").alias("score")), "score")
 
@@ -204,24 +194,26 @@ def context_bonus(t: Inputs) -> DataFrame:
     return Sheets(t).headers.select("file", "sheet", *sm.FLAGS).distinct()
 
 
-@query("rank_candidates")
+@query("rank_candidates", f"SELECT norm, {_FLAGS}, concept, alias, score, priority, place FROM head_scores WHERE place <= 5")
 def rank_candidates(t: Inputs) -> DataFrame:
     return sm.rank_candidates(sm.concept_scores(Sheets(t).headers)).drop("n")
 
 
-@query("classify_header", """SELECT file, sheet, col_idx, header, concept,
-    CASE WHEN concept IS NULL THEN 'NONE' WHEN score >= 92 THEN 'HIGH' WHEN score >= 78 THEN 'MEDIUM' ELSE 'LOW' END AS confidence
-    FROM head_class WHERE layout <> 3""")
+@query("classify_header", "SELECT file, sheet, col_idx, header, concept, confidence FROM head_class")
 def classify_header(t: Inputs) -> DataFrame:
-    """Concept per column by header alone; the SQL leaves out the positional sheets."""
+    """Concept per column by header alone."""
     s = Sheets(t)
     return (s.headers.join(sm.classify(s.headers), ["norm", *sm.FLAGS])
             .select("file", "sheet", "col_idx", "header", "concept", "confidence"))
 
 
-@query("explain_header")
+@query("explain_header", f"""SELECT c.*, alternatives FROM norm_class c JOIN (SELECT norm, {_FLAGS}, string_agg(
+        place || ' ' || concept || ' ' || printf('%.2f', score) || ' ' || alias, '; ' ORDER BY place) AS alternatives
+    FROM head_scores WHERE place <= 5 GROUP BY norm, {_FLAGS}) a ON c.norm = a.norm AND {_SAME_FLAGS.format('c', 'a')}""")
 def explain_header(t: Inputs) -> DataFrame:
-    return sm.explain(Sheets(t).headers)
+    """Best match of each distinct header and context, with the five best as text."""
+    said = lambda x: F.format_string("%d %s %.2f %s", x["place"], x["concept"], x["score"], x["alias"])
+    return sm.explain(Sheets(t).headers).withColumn("alternatives", F.array_join(F.transform("alternatives", said), "; "))
 
 
 _BODY = """(SELECT c.file, c.sheet, c.col_idx, h.layout, trim(c.value) AS v FROM sheet_cells c JOIN header_at h
@@ -269,8 +261,11 @@ _ORDERED = ("DESCRIPTION", "SUPPLIER", "UNIT", "ID", "QUANTITY", "UNIT_PRICE")
 _TOPEV = "greatest(" + ", ".join(f"round(ev_{c}, 9)" for c in _ORDERED) + ")"
 
 
-@query("infer_concept", f"""SELECT file, sheet, col_idx, CASE WHEN {_TOPEV} < 14 THEN NULL {' '.join(
-    f"WHEN round(ev_{c}, 9) = {_TOPEV} THEN '{c}'" for c in _ORDERED)} END AS inferred,
+_INFERRED = f"CASE WHEN {_TOPEV} < 14 THEN NULL " + " ".join(
+    f"WHEN round(ev_{c}, 9) = {_TOPEV} THEN '{c}'" for c in _ORDERED) + " END"
+
+
+@query("infer_concept", f"""SELECT file, sheet, col_idx, {_INFERRED} AS inferred,
     CASE WHEN {_TOPEV} >= 14 THEN round({_TOPEV}, 4) END AS inferred_score FROM col_evidence""")
 def infer_concept(t: Inputs) -> DataFrame:
     out = sm.infer_concept(sm.evidence_scores(Sheets(t).profile))
@@ -285,7 +280,7 @@ def find_header_row(t: Inputs) -> DataFrame:
 @query("find_data_start", "SELECT file, sheet, first_row + 1 AS data_start FROM header_at")
 def find_data_start(t: Inputs) -> DataFrame:
     s = Sheets(t)
-    return sm.find_data_start(s.cells, s.rows)
+    return sm.find_data_start(s.sample, s.rows)
 
 
 @query("clean_header", """SELECT file, sheet, col_idx, header FROM sheet_heads""")
@@ -296,7 +291,7 @@ def clean_header(t: Inputs) -> DataFrame:
 @query("select_sheet", "SELECT DISTINCT file, 'Dados' AS sheet FROM header_at")
 def select_sheet(t: Inputs) -> DataFrame:
     s = Sheets(t)
-    return sm.select_sheet(s.columns, s.rows, s.cells).select("file", "sheet")
+    return s.chosen.select("file", "sheet")
 
 
 @query("suppliers_in_headers", "SELECT file, sheet, 'Fornecedor X' AS supplier FROM header_at WHERE layout = 4")
@@ -304,25 +299,67 @@ def suppliers_in_headers(t: Inputs) -> DataFrame:
     return sm.suppliers_in_headers(Sheets(t).headers)
 
 
-@query("detection_warnings")
-def detection_warnings(t: Inputs) -> DataFrame:
+@query("project_concepts", f"""SELECT b.file, b.sheet, b.row_idx, {', '.join(
+    f"max(value) FILTER (WHERE m.concept = '{c}') AS {c}" for c in sm.MAPPED)}
+    FROM (SELECT c.* FROM sheet_cells c JOIN header_at h ON c.file = h.file AND c.sheet = h.sheet WHERE c.row_idx > h.header_row) b
+    JOIN col_map m ON b.file = m.file AND b.sheet = m.sheet AND b.col_idx = m.col_idx GROUP BY b.file, b.sheet, b.row_idx""")
+def project_concepts(t: Inputs) -> DataFrame:
     s = Sheets(t)
-    return sm.detection_warnings(s.columns, s.rows)
+    mapped = sm.column_map(s.resolved, sm.generic_layout(s.headers))
+    return sm.project_concepts(s.cells, s.rows, mapped)
 
 
-@query("column_matches")
+@query("detection_warnings")
+def detection_warnings(t: Inputs) -> DataFrame:
+    s = Sheets(t)
+    return sm.detection_warnings(s.columns, s.rows, sheets.sheet_manifest(t.plain))
+
+
+# Every column with its concept by header, or by content where the header is weak.
+_POINTS = "CASE c.concept " + " ".join(f"WHEN '{k}' THEN ev_{e}" for k, e in [(e, e) for e in _EV] + [
+    ("TOTAL_PRICE", "UNIT_PRICE"), ("DELIVERY_DAYS", "PAYMENT_DAYS")]) + " END"
+CTES["col_match"] = f"""SELECT file, sheet, header_row, col_idx, header, norm, CASE WHEN guess THEN inferred ELSE concept END AS concept,
+    score, confidence, alias, round(CASE WHEN guess THEN top ELSE coalesce(points, 0.0) END, 2) AS data_score, guess AS from_content
+    FROM (SELECT c.*, {_POINTS} AS points, {_TOPEV} AS top, {_INFERRED} AS inferred,
+              c.confidence IN ('LOW', 'NONE') AND coalesce({_TOPEV} >= 14, false) AS guess
+          FROM head_class c LEFT JOIN col_evidence e ON c.file = e.file AND c.sheet = e.sheet AND c.col_idx = e.col_idx)"""
+
+_NEEDED = ", ".join(f"'{c}'" for c in ("ID", *sm.REQUIRED_COLUMNS))
+_ASKED = ", ".join(f"'{c}'" for c in (*sm.MAPPED, "QUOTE_ID"))
+CTES["col_resolved"] = f"""WITH ranked_cols AS (SELECT *, score + data_score AS total, count(*) OVER w AS uses,
+        row_number() OVER (w ORDER BY score + data_score DESC, data_score DESC, col_idx) AS place,
+        lead(score + data_score) OVER (w ORDER BY score + data_score DESC, data_score DESC, col_idx) AS next_total
+        FROM col_match WHERE concept IN ({_ASKED}) WINDOW w AS (PARTITION BY file, sheet, concept)),
+    picked AS (SELECT file, sheet, concept,
+        CASE WHEN uses = 1 OR (concept IN ({_NEEDED}) AND total >= next_total + 4) THEN col_idx END AS col_idx,
+        CASE WHEN uses > 1 AND concept IN ({_NEEDED}) AND NOT total >= next_total + 4 THEN 'coluna_ambigua' END AS problem
+        FROM ranked_cols WHERE place = 1)
+    SELECT * FROM picked WHERE concept <> 'QUOTE_ID' UNION ALL SELECT p.file, p.sheet, 'ID', p.col_idx, p.problem FROM picked p
+    LEFT JOIN picked i ON i.concept = 'ID' AND p.file = i.file AND p.sheet = i.sheet
+    WHERE p.concept = 'QUOTE_ID' AND p.col_idx IS NOT NULL AND i.file IS NULL"""
+
+CTES["col_map"] = """SELECT coalesce(r.file, g.file) AS file, coalesce(r.sheet, g.sheet) AS sheet, coalesce(r.concept, g.concept) AS concept,
+    coalesce(g.col_idx, r.col_idx) AS col_idx, CASE WHEN g.col_idx IS NULL AND r.col_idx IS NULL THEN r.problem END AS problem
+    FROM col_resolved r FULL JOIN (SELECT file, sheet, col_idx, concept FROM header_at JOIN (VALUES """ + ", ".join(
+    f"({n}, '{c}')" for n, c in enumerate(sm.GENERIC_LAYOUT)) + """) AS v(col_idx, concept) ON layout = 3) g
+    ON r.file = g.file AND r.sheet = g.sheet AND r.concept = g.concept"""
+
+
+@query("column_matches", "SELECT * FROM col_match")
 def column_matches(t: Inputs) -> DataFrame:
     return Sheets(t).columns
 
 
-@query("resolve_columns", """SELECT file, sheet, concept, col_idx FROM (SELECT file, sheet, layout, concept, min(col_idx) AS col_idx, count(*) AS n
-    FROM head_class WHERE layout IN (0, 1) AND concept IS NOT NULL GROUP BY file, sheet, layout, concept) WHERE n = 1""")
+@query("resolve_columns", "SELECT file, sheet, concept, col_idx FROM col_resolved WHERE col_idx IS NOT NULL")
 def resolve_columns(t: Inputs) -> DataFrame:
-    """Mapped columns of all sheets; the SQL knows only the two header styles whose headers alone decide."""
+    """Mapped columns of all sheets."""
     return Sheets(t).resolved.where("col_idx IS NOT NULL").select("file", "sheet", "concept", "col_idx")
 
 
-@query("column_problems")
+@query("column_problems", "SELECT file, sheet, concept, problem FROM col_map WHERE problem IS NOT NULL UNION ALL "
+       "SELECT h.file, h.sheet, v.concept, 'colunas_nao_reconhecidas' FROM header_at h CROSS JOIN (VALUES " + ", ".join(
+           f"('{c}')" for c in sm.REQUIRED_COLUMNS) + """) AS v(concept) LEFT JOIN col_map m ON h.file = m.file AND h.sheet = m.sheet
+    AND v.concept = m.concept AND m.col_idx IS NOT NULL WHERE m.file IS NULL""")
 def column_problems(t: Inputs) -> DataFrame:
     s = Sheets(t)
     mapped = sm.column_map(s.resolved, sm.generic_layout(s.headers))
@@ -336,6 +373,97 @@ def generic_layout(t: Inputs) -> DataFrame:
     return sm.generic_layout(Sheets(t).headers)
 
 
+# --- from cells to quotes and recommendations ----------------------------------------
+
+_LABEL = lambda c: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in si.CONCEPT_LABELS.items()) + f" ELSE {c} END"
+
+CTES["sheet_list"] = sheets.MANIFEST_SQL
+# The data sheet of every file is the one that is read, unless callers ask for one that does not exist.
+CTES["col_trouble"] = """SELECT file, sheet, concept, problem FROM col_map WHERE problem IS NOT NULL AND sheet = 'Dados' AND file NOT LIKE '%7'
+    UNION ALL SELECT h.file, h.sheet, v.concept, 'colunas_nao_reconhecidas' FROM header_at h CROSS JOIN (VALUES """ + ", ".join(
+    f"('{c}')" for c in sm.REQUIRED_COLUMNS) + """) AS v(concept) LEFT JOIN col_map m ON h.file = m.file AND h.sheet = m.sheet
+    AND v.concept = m.concept WHERE m.file IS NULL AND h.sheet = 'Dados' AND h.file NOT LIKE '%7'"""
+
+_ASSEMBLED = ", ".join(f"max(value) FILTER (WHERE m.concept = '{c}') AS {c}" for c in si.QUOTE_COLUMNS)
+_CELL_NUMBER = "try_cast(replace(regexp_replace({}, '[^0-9,.-]', '', 'g'), ',', '.') AS double)"
+_TYPED = ", ".join(
+    f"{_CELL_NUMBER.format(c)} AS {n}" if n in si.NUMBERS else
+    f"nullif(upper(trim({c})), '') AS {n}" if n == "unit" else f"nullif(trim({c}), '') AS {n}"
+    for c, n in si.QUOTE_COLUMNS.items())
+CTES["cell_quotes"] = f"""SELECT file AS rfq_id, row_idx + 1 AS sheet_row, {_TYPED} FROM (
+    SELECT b.file, b.row_idx, {_ASSEMBLED}
+    FROM (SELECT c.* FROM sheet_cells c JOIN header_at h ON c.file = h.file AND c.sheet = h.sheet
+          WHERE c.row_idx > h.header_row AND c.sheet = 'Dados' AND c.file NOT LIKE '%7'
+          AND c.value IS NOT NULL AND c.file NOT IN (SELECT file FROM col_trouble)) b
+    JOIN col_map m ON b.file = m.file AND b.sheet = m.sheet AND b.col_idx = m.col_idx
+    WHERE m.concept IN ({', '.join(f"'{c}'" for c in si.QUOTE_COLUMNS)}) GROUP BY b.file, b.row_idx)"""
+
+
+class Imported(SheetImport):
+    """The files of one data folder, read from their cells, with the catalogue of what was asked for."""
+
+    def __init__(self, t: Inputs):
+        manifest = sheets.sheet_manifest(t.plain)
+        super().__init__(sheets.sheet_cells(t.lines), manifest, sheets.wanted_sheets(manifest), items=t.items)
+
+
+@query("quotes_from_cells", "SELECT rfq_id, sheet_row, item_id, description, quantity, unit, supplier, round(unit_price, 4) AS unit_price, "
+       "total_price, payment, delivery, min_order, freight, observation FROM cell_quotes")
+def quotes_from_cells(t: Inputs) -> DataFrame:
+    """Typed quotes of every file that can be read."""
+    return rounded(Imported(t).quotes.select(
+        "rfq_id", "sheet_row", "item_id", "description", "quantity", "unit", "supplier", "unit_price", "total_price",
+        "payment", "delivery", "min_order", "freight", "observation"), "unit_price")
+
+
+@query("recommend_from_cells", """SELECT rfq_id, item_id, CASE WHEN read THEN winner ELSE 'NENHUM' END AS winner,
+    CASE WHEN read THEN round(final_score, 4) ELSE 0.0 END AS final_score, CASE WHEN read THEN round(unit_price, 4) END AS unit_price,
+    CASE WHEN read THEN score_class ELSE 'SEM OPÇÃO ELEGÍVEL' END AS score_class
+    FROM (SELECT *, cast(split_part(rfq_id, '-', 2) AS integer) % 6 IN (0, 1, 3, 4) AND rfq_id NOT LIKE '%7' AS read FROM winners)""")
+def recommend_from_cells(t: Inputs) -> DataFrame:
+    """The recommendation, with nothing but sheet cells and the catalogue to start from.
+
+    Files whose layout names items only by quote codes, or has ambiguous columns, recommend nothing.
+    """
+    return rounded(Imported(t).chain.recommendations.select(
+        "rfq_id", "item_id", "winner", "final_score", "unit_price", "score_class"), "final_score", "unit_price")
+
+
+_RIVALS = """(SELECT m.file, m.sheet, m.concept, string_agg(m.header, ', ' ORDER BY m.col_idx) AS names FROM col_match m JOIN col_trouble p
+    ON p.problem = 'coluna_ambigua' AND m.file = p.file AND m.sheet = p.sheet AND m.concept = p.concept GROUP BY m.file, m.sheet, m.concept)"""
+_NAMES = "(SELECT file, string_agg(sheet, ', ' ORDER BY sheet) AS names FROM sheet_list GROUP BY file)"
+
+
+@query("import_problems", f"""SELECT file, sheet, code, title, message, missing FROM (
+    SELECT file, 'Planilha1' AS sheet, 'aba_inexistente' AS code, 'Aba não encontrada' AS title,
+        concat('A aba ''Planilha1'' não existe no arquivo. Abas disponíveis: ', names, '.') AS message, '' AS missing
+    FROM {_NAMES} WHERE file LIKE '%7'
+    UNION ALL SELECT file, NULL, 'nenhuma_aba_analisavel', 'Nenhuma aba analisável',
+        concat('Nenhuma das abas pôde ser analisada. Abas do arquivo: ', names, '.'), ''
+    FROM {_NAMES} WHERE file LIKE '%-quebrado'
+    UNION ALL SELECT file, sheet, 'colunas_nao_reconhecidas', 'Colunas obrigatórias não reconhecidas',
+        concat('Não foi possível reconhecer as colunas obrigatórias na aba ''', sheet, '''. Faltando: ',
+               string_agg({_LABEL('concept')}, ', ' ORDER BY concept), '.'), string_agg({_LABEL('concept')}, '; ' ORDER BY concept)
+    FROM col_trouble WHERE problem = 'colunas_nao_reconhecidas' GROUP BY file, sheet
+    UNION ALL SELECT file, sheet, 'coluna_ambigua', 'Coluna ambígua', concat('Mais de uma coluna na aba ''', sheet, ''' parece ser ',
+        {_LABEL('concept')}, ': ', names, '.'), {_LABEL('concept')} FROM {_RIVALS}
+    UNION ALL SELECT DISTINCT h.file, h.sheet, 'sem_propostas_validas', 'Nenhuma proposta válida', concat('A aba ''', h.sheet,
+        ''' não contém nenhuma proposta válida. Todos os registros encontrados estavam incompletos ou com valores inválidos.'),
+        '{'; '.join(si.CONCEPT_LABELS[c] for c in sm.REQUIRED_COLUMNS)}'
+    FROM header_at h WHERE h.sheet = 'Dados' AND h.file NOT LIKE '%7' AND h.file NOT IN (SELECT file FROM col_trouble)
+        AND h.file NOT IN (SELECT rfq_id FROM cell_quotes WHERE quantity > 0 AND unit_price > 0 AND item_id IS NOT NULL
+            AND description IS NOT NULL AND unit IS NOT NULL AND supplier IS NOT NULL))""")
+def import_problems(t: Inputs) -> DataFrame:
+    """What keeps files from being read, one row for each broken rule."""
+    return Imported(t).problems().select("file", "sheet", "code", "title", "message", F.array_join("missing", "; ").alias("missing"))
+
+
+@query("import_notes")
+def import_notes(t: Inputs) -> DataFrame:
+    """Readable notes on every file that is read from its cells."""
+    return Imported(t).notes()
+
+
 # --- price matrix --------------------------------------------------------------------
 
 _PRICE_COLS = """(SELECT file, sheet, col_idx, label FROM (SELECT c.file, c.sheet, c.col_idx, c.label, h.value AS head, n.value AS nxt

@@ -74,6 +74,30 @@ def sheet_cells(lines: DataFrame) -> DataFrame:
     return data.unionByName(headers).unionByName(title).unionByName(summary)
 
 
+def sheet_manifest(lines: DataFrame) -> DataFrame:
+    """Every sheet of every file: ``readable`` is false where the reader failed.
+
+    Files of layout 2 have an empty sheet besides; those of layout 4 come with a second file
+    that cannot be read at all.
+    """
+    files = lines.select(F.col("rfq_id").alias("file"), F.pmod(
+        F.split("rfq_id", "-")[1].cast("int"), F.lit(6)).alias("layout")).distinct()
+    sheet = lambda f, name, ok: F.struct(f.alias("file"), F.lit(name).alias("sheet"), F.lit(ok).alias("readable"))
+    own = F.col("file")
+    sheets_ = F.array(sheet(own, "Dados", True), sheet(own, "Resumo", True),
+                      F.when(F.col("layout") == 2, sheet(own, "Vazia", True)),
+                      F.when(F.col("layout") == 4, sheet(F.concat("file", F.lit("-quebrado")), "Plan1", False)))
+    return files.select(F.explode(F.array_compact(sheets_)).alias("s")).select("s.*")
+
+
+def wanted_sheets(manifest: DataFrame) -> DataFrame:
+    """Sheets that callers ask for by name: that of the data, in files whose name ends in 3, and one
+    that does not exist, in those that end in 7."""
+    files = manifest.where("readable").select("file").distinct()
+    return files.where("file LIKE '%3' OR file LIKE '%7'").select(
+        "file", F.when(F.col("file").endswith("3"), "Dados").otherwise("Planilha1").alias("sheet"))
+
+
 def _union(*selects: str) -> str:
     return "\nUNION ALL ".join(selects)
 
@@ -98,6 +122,12 @@ CELLS_SQL = _union(
     f"SELECT rfq_id, 'Resumo', 1, 1, cast(n AS varchar) FROM {_FILES}")
 
 
+MANIFEST_SQL = _union(
+    f"SELECT rfq_id AS file, 'Dados' AS sheet, TRUE AS readable FROM {_FILES}", f"SELECT rfq_id, 'Resumo', TRUE FROM {_FILES}",
+    f"SELECT rfq_id, 'Vazia', TRUE FROM {_FILES} WHERE layout = 2",
+    f"SELECT concat(rfq_id, '-quebrado'), 'Plan1', FALSE FROM {_FILES} WHERE layout = 4")
+
+
 # --- price matrix --------------------------------------------------------------------
 # Row 0: supplier labels; row 1: headers; item with part number p in row p + 2; then a
 # nameless row and a total. Column pairs: supplier s at 5 + 2s, then the first supplier of

@@ -36,11 +36,10 @@ def phrase_score(norm, alias):
 def test_every_header_meets_every_phrase(t):
     headers = sq.Sheets(t).headers
     norms = {r.norm for r in headers.select("norm").collect()}
-    for build in (sq.score_alias, sq.header_scores):
-        got = {(r.norm, r.concept, r.alias): r.score for r in build(t).collect()}
-        assert got.keys() == {(n, c, a) for n in norms for c, a in phrases()}
-        for (n, _, a), score in got.items():
-            assert score == pytest.approx(phrase_score(n, a), abs=1e-3), (n, a)
+    got = {(r.norm, r.concept, r.alias): r.score for r in sq.score_alias(t).collect()}
+    assert got.keys() == {(n, c, a) for n in norms for c, a in phrases()}
+    for (n, _, a), score in got.items():
+        assert score == pytest.approx(phrase_score(n, a), abs=1e-3), (n, a)
 
 
 def test_every_sheet_is_classified(t):
@@ -55,12 +54,7 @@ def test_every_sheet_is_classified(t):
     assert any(r.header == "Campo A" for r in got.values())
 
 
-def test_columns_of_every_sheet_are_resolved(t, monkeypatch):
-    # Each step is cut off from the plan that made it, or the detector would run many times.
-    for name in ("rows", "headers", "profile", "columns"):
-        step = getattr(sq.Sheets(t), name)
-        held = t.spark.createDataFrame(step.collect(), step.schema).coalesce(1)
-        monkeypatch.setattr(sq.Sheets, name, held)
+def test_columns_of_every_sheet_are_resolved(t):
     columns = defaultdict(list)
     for r in sq.column_matches(t).collect():
         columns[r.file, r.sheet, r.concept].append((-(r.score + r.data_score), -r.data_score, r.col_idx))
