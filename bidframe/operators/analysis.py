@@ -1,7 +1,7 @@
 """Comparison map, supplier summary, indicators, alerts and insights.
 
 All of it works on the quoted cells; cells without a quote are counted from the sizes of
-a request and only built where they are the output (alerts).
+a request and only written out where they are the output (alerts).
 """
 from __future__ import annotations
 
@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from bidframe.functions.text import strip
 
 from bidframe.functions.numbers import variation_pct
-from bidframe.operators.equalize import DIVERGENT, NOT_QUOTED, not_quoted
+from bidframe.operators.blocks import absent_cells, item_blocks
+from bidframe.operators.equalize import DIVERGENT, NOT_QUOTED
 from bidframe.operators.skew import HotGroups, SALT, WAYS, group_extremes, number_rows
 
 ITEM = ["rfq_id", "item_id"]
@@ -159,7 +160,7 @@ def _alert(df: DataFrame, priority: str, kind: str, message: Column, about_item=
 
 
 def alerts(items: DataFrame, marked: DataFrame, suppliers: DataFrame, cmap: DataFrame,
-           hot_grid: HotGroups | None = None) -> DataFrame:
+           hot_grid: HotGroups | None = None, hot_rfq: HotGroups | None = None) -> DataFrame:
     """Divergences, missing quotes, wide spreads, minimum orders and freight notes.
 
     ``suppliers`` carries the commercial indicators of each supplier.
@@ -171,7 +172,7 @@ def alerts(items: DataFrame, marked: DataFrame, suppliers: DataFrame, cmap: Data
                               F.col("req_quantity").alias("quantity"),
                               F.col("req_unit").alias("unit"))
     quoted = marked.where(F.col("eq_status") != NOT_QUOTED)
-    missing = not_quoted(asked, quoted, suppliers, hot_grid).join(asked, ITEM)
+    missing = absent_cells(item_blocks(asked, quoted, suppliers, [], hot_grid, hot_rfq))
     amount = F.concat_ws(" ", number_text(F.col("quantity")), "unit")
     named = F.concat(F.lit("item "), "item_id", F.lit(" ("), "description", F.lit(")"))
 

@@ -7,6 +7,7 @@ from bidframe.config import EngineConfig
 from bidframe.functions import similarity as sim
 from bidframe.functions.numbers import is_close
 from bidframe.functions.text import add_normalized, extract_attributes, strip, tokens
+from bidframe.operators.blocks import absent_cells, all_cells, item_blocks
 from bidframe.operators.skew import (HotGroups, SALT, WAYS, copy_rows, salted, spread_join,
                                      spread_rows)
 
@@ -145,17 +146,15 @@ GRID_COLUMNS = ("rfq_id", "item_id", "supplier", "req_description", "description
 
 
 def equalize(items: DataFrame, cells: DataFrame, suppliers: DataFrame,
-             hot: HotGroups | None = None) -> DataFrame:
+             hot: HotGroups | None = None, hot_rfq: HotGroups | None = None) -> DataFrame:
     """The full 15-column grid; cells without a quote are marked as not quoted."""
     asked = items.select("rfq_id", strip(F.col("item_id")).alias("item_id"),
                          F.col("description").alias("req_description"),
                          F.col("quantity").alias("req_quantity"), F.col("unit").alias("req_unit"))
-    offered = cells.select("rfq_id", "item_id", "supplier", "description", "quantity", "unit",
-                           "unit_price", "similarity", "attr_pct", "attr_divergences",
-                           "qty_check", "unit_check", "eq_status", F.lit(True).alias("_quoted"))
-    absent = F.col("_quoted").isNull()
-    return (quote_grid(asked, suppliers, hot)
-            .join(offered, ["rfq_id", "item_id", "supplier"], "left")
+    facts = ["description", "quantity", "unit", "unit_price", "similarity", "attr_pct", "attr_divergences",
+             "qty_check", "unit_check", "eq_status"]
+    absent = ~F.col("has_offer")
+    return (all_cells(item_blocks(asked, cells, suppliers, facts, hot, hot_rfq), facts)
             .withColumns({c: F.when(absent, 0.0).otherwise(F.col(c))
                           for c in ("similarity", "attr_pct")})
             .withColumn("attr_divergences", F.when(absent, 0).otherwise(F.col("attr_divergences")))
@@ -165,11 +164,11 @@ def equalize(items: DataFrame, cells: DataFrame, suppliers: DataFrame,
 
 
 def not_quoted(items: DataFrame, quotes: DataFrame, suppliers: DataFrame,
-               hot: HotGroups | None = None) -> DataFrame:
+               hot: HotGroups | None = None, hot_rfq: HotGroups | None = None) -> DataFrame:
     """Grid cells without any quote."""
     asked = items.select("rfq_id", strip(F.col("item_id")).alias("item_id"))
     quoted = quotes.select("rfq_id", strip(F.col("item_id")).alias("item_id"), "supplier")
-    return quote_grid(asked, suppliers, hot).join(quoted, ["rfq_id", "item_id", "supplier"], "left_anti")
+    return absent_cells(item_blocks(asked, quoted, suppliers, [], hot, hot_rfq)).select("rfq_id", "item_id", "supplier")
 
 
 def join_terms(cells: DataFrame, indicators: DataFrame, hot: HotGroups | None = None,

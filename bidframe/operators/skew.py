@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from bidframe.config import SkewPolicy
+from bidframe.sources.staging import staged
 
 WAYS, SALT = "_ways", "_salt"
 
@@ -100,29 +101,24 @@ def group_extremes(df: DataFrame, hot: HotGroups, stats: dict[str, Column]) -> D
 def number_rows(df: DataFrame, hot: HotGroups, order: list[Column], name: str) -> DataFrame:
     """``row_number`` within groups that also holds for groups too big for one task.
 
-    A hot group is cut into bands at evenly spread values of its own sort key; rows are
-    numbered inside their band and shifted by the rows of the earlier bands. ``order``
-    must tell all rows of a group apart and sort ascending, nulls first.
+    The rows of hot groups are range partitioned and sorted together; a row's number is its place in
+    its part, shifted by the rows of its group in earlier parts. The table of those shifts has a row for
+    each part that a group reaches into. ``order`` must tell all rows of a group apart.
     """
     keys = list(hot.keys)
     if not hot.rows:
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, F.row_number().over(window).cast("bigint"))
-    tagged = df.withColumn("_o", F.struct(*order)).join(hot.frame(df), keys, "left")
-    # About four cut points per part, picked by hash; they only place the cuts.
-    stride = max(hot.policy.hot_rows // 4, 1)
-    cuts = (tagged.where(F.col(WAYS).isNotNull() & (F.pmod(F.xxhash64("_o"), F.lit(stride)) == 0))
-            .groupBy(*keys).agg(F.array_sort(F.collect_list("_o")).alias("_cuts")))
-    band = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col("_o"))), F.lit(0))
-    banded = (tagged.join(F.broadcast(cuts), keys, "left")
-              .withColumn("_band", F.when(F.col(WAYS).isNull(), 0).otherwise(band)).drop("_cuts"))
-    sizes = (banded.where(F.col(WAYS).isNotNull()).groupBy(*keys, "_band")
-             .agg(F.count(F.lit(1)).alias("_rows")))
-    before = Window.partitionBy(*keys).orderBy("_band").rowsBetween(
-        Window.unboundedPreceding, -1)
-    shifts = sizes.select(*keys, "_band", F.sum("_rows").over(before).alias("_shift"))
-    local = Window.partitionBy(*keys, "_band").orderBy("_o")
-    return (banded.join(F.broadcast(shifts), [*keys, "_band"], "left")
-            .withColumn(name, (F.row_number().over(local)
-                               + F.coalesce(F.col("_shift"), F.lit(0))).cast("bigint"))
-            .drop("_o", "_band", "_shift", WAYS))
+    tagged = df.join(hot.frame(df), keys, "left")
+    window = Window.partitionBy(*keys).orderBy(*order)
+    few = tagged.where(F.col(WAYS).isNull()).withColumn(name, F.row_number().over(window).cast("bigint"))
+    # Rows are sorted over all parts and written; their places then stay as they are.
+    many = staged(tagged.where(F.col(WAYS).isNotNull()).orderBy(*[F.col(k) for k in keys], *order)
+                  .withColumn("_place", F.monotonically_increasing_id())
+                  .withColumn("_part", F.shiftright("_place", 33)))
+    sizes = many.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_rows"), F.min("_place").alias("_first"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*keys, "_part", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) + 1
+                                           - F.col("_first")).alias("_shift"))
+    numbered = many.join(starts, [*keys, "_part"]).withColumn(name, F.col("_place") + F.col("_shift"))
+    return few.unionByName(numbered.drop("_place", "_part", "_shift")).drop(WAYS)

@@ -454,7 +454,7 @@ def quote_grid(t: Inputs) -> DataFrame:
 @query("not_quoted", """SELECT g.rfq_id, g.item_id, g.supplier FROM grid g LEFT JOIN kept k ON g.rfq_id = k.rfq_id
     AND g.item_id = k.item_id AND g.supplier = k.supplier WHERE k.rfq_id IS NULL""")
 def not_quoted(t: Inputs) -> DataFrame:
-    return eq.not_quoted(t.items, t.chain.kept, t.chain.suppliers, t.hot.grid)
+    return eq.not_quoted(t.items, t.chain.kept, t.chain.suppliers, t.hot.grid, t.hot.rfq)
 
 
 @query("join_terms", """SELECT k.rfq_id, k.item_id, k.supplier, t.payment_days, t.delivery_days, t.no_min_order,
@@ -680,7 +680,7 @@ def _amount_sql(q: str, unit: str) -> str:
     UNION ALL SELECT rfq_id, 'BAIXA', 'Frete', NULL, NULL, NULL, NULL, supplier,
         concat(supplier, ' não informou a condição de frete.') FROM indicators WHERE NOT freight_informed""")
 def alerts(t: Inputs) -> DataFrame:
-    return analysis.alerts(t.items, t.marked, t.chain.suppliers, t.cmap, t.hot.grid)
+    return analysis.alerts(t.items, t.marked, t.chain.suppliers, t.cmap, t.hot.grid, t.hot.rfq)
 
 
 @query("insights", """WITH sp AS (SELECT rfq_id, item_id, spread_pct, row_number() OVER (PARTITION BY rfq_id
@@ -815,7 +815,7 @@ def default_labels(t: Inputs) -> DataFrame:
     LEFT JOIN best b ON g.rfq_id = b.rfq_id AND g.item_id = b.item_id AND g.supplier = b.supplier""")
 def compact_map(t: Inputs) -> DataFrame:
     from bidframe.plans.report import map_grid
-    out = views.compact_map(map_grid(t), t.cmap.select("rfq_id", "item_id", "best_suppliers"))
+    out = views.compact_map(map_grid(t))
     return rounded(out.withColumn("best_suppliers", F.array_join("best_suppliers", ", ")), "price")
 
 

@@ -122,7 +122,7 @@ class QuoteChain:
 
     @cached_property
     def grid(self) -> DataFrame:
-        return eq.equalize(self.items, self.cells(), self.suppliers, self.hot.grid)
+        return eq.equalize(self.items, self.cells(), self.suppliers, self.hot.grid, self.hot.rfq)
 
     @cached_property
     def recommendations(self) -> DataFrame:

@@ -3,21 +3,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from bidframe.operators import (analysis, equalize as eq, quality, scoring, source_profile as prof,
+from bidframe.operators import (analysis, blocks, equalize as eq, quality, scoring, source_profile as prof,
                                 views)
 from bidframe.plans.registry import Inputs
 
 
 def map_grid(t: Inputs) -> DataFrame:
-    """Full grid with the status and the eligible price of each cell."""
-    asked = t.items.select("rfq_id", "item_id", F.col("description").alias("req_description"),
-                           F.col("quantity").alias("req_quantity"), F.col("unit").alias("req_unit"))
-    offered = scoring.with_eligibility(t.chain.cells()).select(
-        "rfq_id", "item_id", "supplier", "eq_status",
-        F.when(F.col("price_eligible"), F.col("unit_price")).alias("price"))
-    return (eq.quote_grid(asked, t.chain.suppliers, t.hot.grid)
-            .join(offered, ["rfq_id", "item_id", "supplier"], "left")
-            .withColumn("eq_status", F.coalesce("eq_status", F.lit(eq.NOT_QUOTED))))
+    """Every item and supplier with the status, the eligible price and the item's best suppliers."""
+    asked = (t.items.select("rfq_id", "item_id", F.col("description").alias("req_description"),
+                            F.col("quantity").alias("req_quantity"), F.col("unit").alias("req_unit"))
+             .join(t.cmap.select("rfq_id", "item_id", "best_suppliers"), ["rfq_id", "item_id"], "left"))
+    offered = scoring.with_eligibility(t.chain.cells()).withColumn(
+        "price", F.when(F.col("price_eligible"), F.col("unit_price")))
+    facts = ["eq_status", "price"]
+    grid = blocks.all_cells(blocks.item_blocks(asked, offered, t.chain.suppliers, facts, t.hot.grid, t.hot.rfq), facts)
+    return grid.withColumn("eq_status", F.coalesce("eq_status", F.lit(eq.NOT_QUOTED)))
 
 
 def report_tables(t: Inputs) -> dict[str, DataFrame]:
@@ -34,11 +34,10 @@ def report_tables(t: Inputs) -> dict[str, DataFrame]:
         "Análise Executiva": views.kpi_rows(executive),
         "Ranking Executivo": analysis.value_ranking(t.summary, t.hot.rfq),
         "Insights": analysis.insights(figures, t.cmap, chain.suppliers),
-        "Mapa Comparativo": views.compact_map(
-            map_grid(t), t.cmap.select("rfq_id", "item_id", "best_suppliers")),
+        "Mapa Comparativo": views.compact_map(map_grid(t)),
         "Preços por Fornecedor": views.prices_long(t.chain.eligible_cells),
         "Fornecedores": t.summary,
-        "Alertas": analysis.alerts(t.items, t.marked, chain.suppliers, t.cmap, t.hot.grid),
+        "Alertas": analysis.alerts(t.items, t.marked, chain.suppliers, t.cmap, t.hot.grid, t.hot.rfq),
         "Condições Comerciais": chain.suppliers.drop("supplier_key"),
         "Recomendações": chain.recommendations,
         "Base Recomendação": scoring.rank_suppliers(scored, t.hot.item),
