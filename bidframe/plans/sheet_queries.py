@@ -1,6 +1,8 @@
 """Queries on sheet cells: scanning, header and column matching, price matrices."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, functions as F
 
 from bidframe.functions.text import stable_key
@@ -416,14 +418,20 @@ def quotes_from_cells(t: Inputs) -> DataFrame:
         "payment", "delivery", "min_order", "freight", "observation"), "unit_price")
 
 
-@query("recommend_from_cells", """SELECT rfq_id, item_id, CASE WHEN read THEN winner ELSE 'NENHUM' END AS winner,
-    CASE WHEN read THEN round(final_score, 4) ELSE 0.0 END AS final_score, CASE WHEN read THEN round(unit_price, 4) END AS unit_price,
-    CASE WHEN read THEN score_class ELSE 'SEM OPÇÃO ELEGÍVEL' END AS score_class
-    FROM (SELECT *, cast(split_part(rfq_id, '-', 2) AS integer) % 6 IN (0, 1, 3, 4) AND rfq_id NOT LIKE '%7' AS read FROM winners)""")
+# The whole chain of checks again, with the quotes read from cells in place of the lines.
+CTES["cell_lines"] = """SELECT *, sheet_row AS source_row, cast(round(unit_price * 100) AS bigint) AS price_cents FROM cell_quotes"""
+_CHAIN = ("good", "first_names", "named", "kept", "terms", "indicators", "quote_texts", "pairs", "statuses", "cells", "offers",
+          "part_scores", "commercial", "finals", "ranked", "winners")
+for _name in _CHAIN:
+    CTES[f"cell_{_name}"] = re.sub(rf"\b({'|'.join(_CHAIN)})\b", r"cell_\1", CTES[_name]).replace("FROM lines", "FROM cell_lines")
+
+
+@query("recommend_from_cells", """SELECT rfq_id, item_id, winner, round(final_score, 4) AS final_score,
+    round(unit_price, 4) AS unit_price, score_class FROM cell_winners""")
 def recommend_from_cells(t: Inputs) -> DataFrame:
     """The recommendation, with nothing but sheet cells and the catalogue to start from.
 
-    Files whose layout names items only by quote codes, or has ambiguous columns, recommend nothing.
+    Files that name items only by quote codes, or have ambiguous columns, recommend nothing.
     """
     return rounded(Imported(t).chain.recommendations.select(
         "rfq_id", "item_id", "winner", "final_score", "unit_price", "score_class"), "final_score", "unit_price")
