@@ -10,31 +10,44 @@ from bidframe.plans.checks import (attrs_sql, days_sql, included_sql, informed_s
                                    no_min_sql, norm_sql, tokens_sql)
 from bidframe.plans.registry import Inputs, query, rounded
 from bidframe.sources import sinks, tables
+from bidframe.sources.staging import written
 
 # --- sources -------------------------------------------------------------------------
 
 
-@query("scan_quotes", """SELECT rfq_id, item_id, supplier, description, unit,
-    cast(price_cents AS varchar) AS price_cents, quote_code, payment, delivery, freight, min_order
-    FROM lines""")
+@query("scan_quotes", """SELECT rfq_id, item_id, supplier, description, cast(cast(quantity AS bigint) AS varchar) AS quantity, unit,
+    cast(price_cents AS varchar) AS unit_price, cast(cast(floor(total_price) AS bigint) AS varchar) AS total_price, payment,
+    delivery, freight, min_order, validity, observation FROM lines""")
 def scan_quotes(t: Inputs) -> DataFrame:
-    return tables.as_text(t.plain.select(
-        "rfq_id", "item_id", "supplier", "description", "unit", "price_cents", "quote_code",
-        "payment", "delivery", "freight", "min_order"))
+    """The lines written as CSV files and read back by the reader, every cell as text."""
+    whole = {"quantity": F.col("quantity").cast("bigint"), "unit_price": F.col("price_cents"),
+             "total_price": F.floor("total_price")}
+    cells = [whole.get(c, F.col(c)).cast("string").alias(c) for c in tables.TEXT_COLUMNS]
+    return tables.scan_quotes(t.spark, written(t.plain.select(*cells), "csv"))
 
 
-@query("load_tables", """SELECT 'items' AS part, rfq_id, count(*) AS n FROM items GROUP BY rfq_id
-    UNION ALL SELECT 'quotes', rfq_id, count(*) FROM lines GROUP BY rfq_id
-    UNION ALL SELECT 'terms', rfq_id, count(DISTINCT supplier_id) FROM lines GROUP BY rfq_id""")
+@query("load_tables", """SELECT 'items' AS part, rfq_id, NULL AS supplier, item_id, description AS said, 1 AS n FROM items
+    UNION ALL SELECT 'quotes', rfq_id, supplier, item_id, description, count(*) FROM lines GROUP BY rfq_id, supplier, item_id, description
+    UNION ALL SELECT DISTINCT 'terms', rfq_id, supplier, NULL, payment, 1 FROM lines""")
 def load_tables(t: Inputs) -> DataFrame:
-    """The three tables of every quotation, counted per request."""
-    count = F.count(F.lit(1)).alias("n")
-    terms = t.plain.select("rfq_id", "supplier_id", "payment", "delivery", "freight",
-                           "min_order", "validity").distinct()
-    parts = (("items", t.items), ("quotes", t.plain), ("terms", terms))
-    out = [df.groupBy("rfq_id").agg(count).select(F.lit(p).alias("part"), "rfq_id", "n")
-           for p, df in parts]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    """Items, quotes and terms out of nested quotations; each holds a part of a request's items or of a supplier's lines."""
+    part = F.pmod(F.xxhash64("item_id"), F.lit(16)).alias("part")
+    line = F.struct("item_id", "description", "quantity", "unit", "unit_price", "total_price", "observation")
+    terms = ("payment", "delivery", "freight", "min_order", "validity")
+    offers = (t.plain.groupBy("rfq_id", "supplier", *terms, part).agg(F.collect_list(line).alias("lines"))
+              .select("rfq_id", F.array(F.struct(F.col("supplier").alias("name"), F.struct(*terms).alias("terms"), "lines"))
+                      .alias("suppliers")))
+    asked = t.items.groupBy("rfq_id", part).agg(
+        F.collect_list(F.struct("item_id", "description", "quantity", "unit")).alias("items")).drop("part")
+    flat = tables.flatten_quotations(offers.unionByName(asked, allowMissingColumns=True))
+    none, one = F.lit(None).cast("string"), F.lit(1).cast("bigint").alias("n")
+    quotes = flat["quotes"].groupBy("rfq_id", "supplier", "item_id", F.col("description").alias("said")).agg(
+        F.count(F.lit(1)).alias("n"))
+    return (flat["items"].select(F.lit("items").alias("part"), "rfq_id", none.alias("supplier"), "item_id",
+                                 F.col("description").alias("said"), one)
+            .unionByName(quotes.select(F.lit("quotes").alias("part"), "rfq_id", "supplier", "item_id", "said", "n"))
+            .unionByName(flat["terms"].select(F.lit("terms").alias("part"), "rfq_id", "supplier", none.alias("item_id"),
+                                              F.col("payment").alias("said"), one).distinct()))
 
 
 @query("to_json_records")

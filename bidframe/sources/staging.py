@@ -28,3 +28,11 @@ def staged(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame, fmt: str) -> str:
+    """The folder in shared storage that ``df`` was written to, in a format with a header where it has one."""
+    path = f"{shared_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    writer = df.write.format(fmt)
+    (writer.option("header", True) if fmt == "csv" else writer).save(path)
+    return path
