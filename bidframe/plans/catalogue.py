@@ -1,5 +1,5 @@
 """All registered queries with their expanded checking SQL."""
-from bidframe.plans import checks, quote_queries, sheet_queries  # noqa: F401  (registration)
+from bidframe.plans import checks, quote_queries, report_queries, sheet_queries  # noqa: F401  (registration)
 from bidframe.plans.registry import ORACLES, QUERIES, expand
 
 

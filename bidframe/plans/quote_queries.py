@@ -57,19 +57,6 @@ def to_json_records(t: Inputs) -> DataFrame:
         ["rfq_id", "item_id"])
 
 
-@query("write_report_tables")
-def write_report_tables(t: Inputs) -> DataFrame:
-    """Sizes of the report tables; the sink itself writes the same frames."""
-    from bidframe.plans.report import report_tables
-    parts = [df.groupBy("rfq_id").agg(F.count(F.lit(1)).alias("rows"))
-             .select(F.lit(name).alias("table_name"), "rfq_id", "rows")
-             for name, df in report_tables(t).items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 @query("dedup_submissions", """SELECT digest, min(doc_id) AS doc_id FROM (
     SELECT doc_id, sha256(text || chr(0) || coalesce(source, '')) AS digest FROM documents) GROUP BY digest""")
 def dedup_submissions(t: Inputs) -> DataFrame:
