@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from bidframe.operators import blocks, equalize as eq  # noqa: E402
+from bidframe.plans.registry import Inputs  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -34,3 +35,32 @@ def test_grid_names_meet_items_last(spark, monkeypatch):
     plan = blocks.item_blocks(items, offers, suppliers, ["cents"])._jdf.queryExecution().optimizedPlan().toString()
     top = plan.splitlines()[:3]
     assert any("Join Inner" in line and "block" in line and "_part" in line for line in top), top
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """Three parts, one of them never sold; a line of a supplier that does not exist."""
+    to = tmp_path_factory.mktemp("tables")
+    spark.createDataFrame([(1, "large ring", "B#1", "LARGE", 1), (2, "hot bolt", "B#1", "SMALL", 1), (3, "nut", "B#1", "SMALL", 1)],
+                          "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{to}/part.parquet")
+    spark.createDataFrame([(1, "S#1"), (2, "S#2")], "s_suppkey long, s_name string").write.parquet(f"{to}/supplier.parquet")
+    lines = [(1, 1, 1, 1, 15.0, 150.0), (1, 1, 2, 2, 15.0, 300.0), (2, 2, 1, 1, 20.0, 100.0), (2, 3, 9, 1, 20.0, 100.0)]
+    spark.createDataFrame([(o, p, s, n, q, x, "N", "O", "1996-09-13") for o, p, s, n, q, x in lines],
+                          "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                          "l_extendedprice double, l_returnflag string, l_linestatus string, l_shipdate string"
+                          ).write.parquet(f"{to}/lineitem.parquet")
+    return str(to)
+
+
+def test_parts_are_not_broadcast(spark, folder):
+    t = Inputs(spark, folder)
+    plan = t.lines._jdf.queryExecution().sparkPlan().toString()
+    assert any("HashJoin" in x and "l_partkey" in x and "Broadcast" not in x for x in plan.splitlines())
+    assert sorted((r.rfq_id, r.item_id) for r in t.items.collect()) == [("B#1-1", "1"), ("B#1-1", "2")]
+    assert sorted((r.item_id, r.supplier, r.source_row) for r in t.lines.collect()) == [("1", "S#1", 1), ("1", "S#2", 2), ("2", "S#1", 3)]
+
+
+def test_marked_cells_are_written_once(spark, folder):
+    t = Inputs(spark, folder)
+    assert "staged-" in "".join(t.marked.inputFiles()) and t.marked.count() == 3
+    assert {r.supplier: r.quoted for r in t.summary.collect()} == {"S#1": 2, "S#2": 1}
