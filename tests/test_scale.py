@@ -7,8 +7,9 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from bidframe.operators import blocks, equalize as eq  # noqa: E402
+from bidframe.operators import blocks, equalize as eq, matrix as mx  # noqa: E402
 from bidframe.plans.registry import Inputs  # noqa: E402
+from bidframe.plans.sheet_queries import Matrix  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -64,3 +65,23 @@ def test_marked_cells_are_written_once(spark, folder):
     t = Inputs(spark, folder)
     assert "staged-" in "".join(t.marked.inputFiles()) and t.marked.count() == 3
     assert {r.supplier: r.quoted for r in t.summary.collect()} == {"S#1": 2, "S#2": 1}
+
+
+def test_price_columns_follow_the_cells_not_the_width(spark):
+    """Only the cells of two rows are met: a very wide sheet has no row for each of its columns."""
+    far = 2_000_000_000
+    cells = [(0, 5, "Acme"), (1, 5, "Unitário"), (1, 6, "Total"), (0, 7, " Beta "), (1, 8, "total"), (0, 9, "no"), (1, 9, "x"),
+             (1, 10, "Total"), (0, 11, "no"), (1, 12, "y"), (1, 4, "Unitário"), (2, 5, "10"), (0, far, "Far"), (1, far, " UNITARIO ")]
+    cells = spark.createDataFrame([("f", "s", *c) for c in cells], "file string, sheet string, row_idx long, col_idx int, value string")
+    rows = spark.createDataFrame([("f", "s", 1, far + 1), ("g", "s", 1, 3)], "file string, sheet string, header_row long, width int")
+    got = {(r.file, r.col_idx, r.label) for r in mx.price_columns(cells, rows).collect()}
+    assert got == {("f", 5, "Acme"), ("f", 7, "Beta"), ("f", far, "Far")}
+
+
+def test_matrix_cells_are_written_once(spark, folder):
+    m = Matrix(Inputs(spark, folder))
+    assert "staged-" in "".join(m.cells.inputFiles())
+    rows = {r.row_idx: (r.item_id, r.reason) for r in m.items.collect()}
+    assert rows[3] == ("1", None) and rows[4] == ("2", None) and rows[5][0] is None and rows[6][0] == "TOTAL"
+    assert {(r.row_idx, r.col_idx): r.value for r in m.cells.where("row_idx > 1 AND col_idx BETWEEN 7 AND 10").collect()} == {
+        (3, 7): "1000", (3, 8): "12000", (3, 9): "2000", (3, 10): "24000", (4, 7): "500", (4, 8): "6000"}
