@@ -427,6 +427,20 @@ def test_secrets_scan(spark):
     assert secrets.scan(docs.where("false"), secrets.train(docs.where("false"))).count() == 0
 
 
+def test_secrets_learn_from_every_value(spark):
+    """More values than the former limit of 3,000, and the same automata however the rows are dealt out."""
+    rng = random.Random(15)
+    texts = ["".join(rng.choice("0123456789abcdef") for _ in range(32)) + f" File-Name-{i}.txt" for i in range(3_400)]
+    scanner = secrets.train(docs_of(spark, texts).repartition(3))
+    assert scanner.seen == {"hex": 3_400, "ordinary": 3_400}
+    again = secrets.train(docs_of(spark, texts + texts[:50]).repartition(7))
+    assert scanner.thresholds == again.thresholds and scanner.thresholds["hex"] > 0
+    assert all((a.step == b.step).all() and (a.cost == b.cost).all() for a, b in (
+        (scanner.ordinary, again.ordinary), (scanner.formats["hex"], again.formats["hex"])))
+    held = "".join(rng.choice("0123456789abcdef") for _ in range(32))
+    assert scanner.likelihood(held)["hex"] > scanner.thresholds["hex"] >= scanner.likelihood("File-Name-99999.txt")["hex"]
+
+
 def test_inferred_automaton_prefers_its_format():
     rng = random.Random(14)
     own = ["".join(rng.choice("0123456789abcdef") for _ in range(24)) for _ in range(200)]
