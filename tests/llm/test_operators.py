@@ -427,6 +427,14 @@ def test_secrets_scan(spark):
     assert secrets.scan(docs.where("false"), secrets.train(docs.where("false"))).count() == 0
 
 
+def test_merging_ends_on_few_mixed_values():
+    for seed in range(20):
+        rng = random.Random(seed)
+        paths = [secrets.symbols("".join(rng.choice("0a9fgZK+-_") for _ in range(rng.randrange(12, 70)))) for _ in range(rng.randrange(5, 150))]
+        found = secrets.infer(paths)
+        assert (found.step < len(found.step)).all() and np.isfinite(found.cost).all()
+
+
 def test_secrets_learn_from_every_value(spark):
     """More values than the former limit of 3,000, and the same automata however the rows are dealt out."""
     rng = random.Random(15)
