@@ -16,6 +16,7 @@ within windows: |d(x, p) - d(y, p)| <= 1 - t for the pivots p measured so far.
 from __future__ import annotations
 
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -157,6 +158,28 @@ def meetings(percent: int) -> int:
     return 3 if percent >= 100 else max(1, min(3, percent // (100 - percent)))
 
 
+def unseen(n, percent: int):
+    """Shingles of a set of ``n`` (numbers or an array) that its window leaves out."""
+    return np.maximum(-(-percent * n // 100) - meetings(percent), 0)
+
+
+def needed(n, m, percent: int):
+    """Least number of shingles that the windows of similar sets of ``n`` and ``m`` have in common.
+
+    The window that ends first in the order of rarity holds all common shingles up to there, and so
+    does the other; of the rest its set has ``unseen`` ones at most.
+    """
+    common = -(-percent * (n + m) // (100 + percent))
+    return np.maximum(common - np.maximum(unseen(n, percent), unseen(m, percent)), meetings(percent))
+
+
+def _needed(n, m, percent: int):
+    """``needed`` of two columns."""
+    left_out = lambda x: F.ceil(percent * x / 100) - meetings(percent)
+    common = F.ceil(percent * (n + m) / (100 + percent))
+    return F.greatest(common - F.greatest(left_out(n), left_out(m), F.lit(0)), F.lit(meetings(percent)))
+
+
 def _windows(rank: Rank, k: int, percent: int):
     def run(batches):
         cache = _Words()
@@ -196,6 +219,14 @@ def _filter(ids: DataFrame) -> np.ndarray:
     return bits
 
 
+def _passed(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which ids the filter lets pass."""
+    passed = np.ones(len(ids), bool)
+    for at in _places(ids):
+        passed &= (bits[at >> 6] >> (at & 63) & 1).astype(bool)
+    return passed
+
+
 def _sets(bits: np.ndarray, k: int):
     """Shingle sets of the documents that the filter lets pass."""
 
@@ -203,9 +234,7 @@ def _sets(bits: np.ndarray, k: int):
         cache = _Words()
         for batch in slices(batches, 500):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            passed = np.ones(len(ids), bool)
-            for at in _places(ids):
-                passed &= (bits[at >> 6] >> (at & 63) & 1).astype(bool)
+            passed = _passed(ids, bits)
             found = [_signed(shingles(cache.of(t.as_py()), k)[0]) for t in batch.column(1).filter(pa.array(passed))]
             yield rows_of({"id": (pa.int64(), ids[passed]), "shingles": (pa.list_(pa.int64()), found)})
 
@@ -222,6 +251,18 @@ def _sets_of(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return cut(texts.where("doc_id is not null").mapInArrow(_sets(_filter(ids), k), "id bigint, shingles array<bigint>"))
 
 
+def _windows_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """(``x``, ``n``, ``window``) of at least the documents in ``ids``, each different one once."""
+    bits = _filter(ids)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_passed(batch.column(0).to_numpy(zero_copy_only=False), bits)))
+
+    able = rows.where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("x"), "n", "window")
+    return able.mapInArrow(run, "x bigint, n bigint, window array<bigint>").dropDuplicates(["x", "n", "window"])
+
+
 def _checked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (``u``, ``v``) whose sets are similar enough, exactly."""
     pairs = cut(pairs)
@@ -236,20 +277,21 @@ def _checked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
 
 
 def _pairs(percent: int):
-    """Open pairs of small regions (different components, sizes that can match) and in how many they meet.
+    """Open pairs of small regions (different components, sizes that can match), in how many they meet and must.
 
     The regions of a family share most pairs, so the meetings are summed here before they travel.
     """
 
     def run(batches):
         seen: Counter = Counter()
+        least = cache(lambda n, m: int(needed(n, m, percent)))
         for batch in batches:
             for members, regions in zip(batch.column(0), batch.column(1).to_pylist()):
                 rows = sorted((m["x"], m["n"], m["component"]) for m in members.as_py())
                 for i, (x, n, c) in enumerate(rows):
                     for y, m, d in rows[:i]:
                         if c != d and x != y and 100 * min(n, m) >= percent * max(n, m):
-                            seen[y, x] += regions
+                            seen[y, x, least(n, m)] += regions
             if len(seen) > PAIRS_HELD:
                 yield _pair_rows(seen)
                 seen.clear()
@@ -259,8 +301,43 @@ def _pairs(percent: int):
 
 
 def _pair_rows(seen: Counter) -> pa.RecordBatch:
-    return rows_of({"u": (pa.int64(), [u for u, _ in seen]), "v": (pa.int64(), [v for _, v in seen]),
-                    "times": (pa.int64(), list(seen.values()))})
+    return rows_of({"u": (pa.int64(), [u for u, _, _ in seen]), "v": (pa.int64(), [v for _, v, _ in seen]),
+                    "needed": (pa.int64(), [n for _, _, n in seen]), "times": (pa.int64(), list(seen.values()))})
+
+
+class _Shared:
+    """Sets of shingles by shingle: how many of its own each set shares with one of them."""
+
+    def __init__(self, sets: list):
+        self.count, sizes = len(sets), [len(x) for x in sets]
+        values, place = np.unique(np.concatenate(sets), return_inverse=True)
+        self.holders = np.repeat(np.arange(len(sets)), sizes)[np.argsort(place, kind="stable")]
+        self.stops = np.cumsum(np.bincount(place, minlength=len(values)))
+        self.own = np.split(place, np.cumsum(sizes)[:-1])
+
+    def with_(self, i: int) -> np.ndarray:
+        found = [self.holders[self.stops[p - 1] if p else 0:self.stops[p]] for p in self.own[i]]
+        return np.bincount(np.concatenate(found), minlength=self.count)
+
+
+def able_members(a: list, b: list | None, percent: int) -> list:
+    """Members (id, component, size, window) of two blocks, or within one, that may link with one of another component."""
+    same, rows = b is None, [*a, *(b or [])]
+    if not rows:
+        return []
+    shared, sizes = _Shared([r[3] for r in rows]), np.array([r[2] for r in rows])
+    _, root = np.unique([r[1] for r in rows], return_inverse=True)
+    found = np.zeros(len(rows), bool)
+    for i in range(len(a)):
+        able = root != root[i]
+        able[:i + 1 if same else len(a)] = False
+        able &= (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
+        if not able.any():
+            continue
+        able &= shared.with_(i) >= needed(sizes, sizes[i], percent)
+        found |= able
+        found[i] |= able.any()
+    return [r for r, is_able in zip(rows, found) if is_able]
 
 
 def join_blocks(a: list, b: list | None, percent: int) -> list[tuple[int, int]]:
@@ -272,15 +349,9 @@ def join_blocks(a: list, b: list | None, percent: int) -> list[tuple[int, int]]:
     same, rows = b is None, [*a, *(b or [])]
     if not rows:
         return []
-    sizes = np.array([len(r[2]) for r in rows])
-    flat, starts = np.concatenate([r[2] for r in rows]), np.concatenate([[0], np.cumsum(sizes)[:-1]])
-
-    def overlap(one: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
-        return np.add.reduceat((one[at] == flat).astype(np.int64), starts)
-
-    shared = overlap(rows[0][2])
-    distance = 1 - shared / (sizes + len(rows[0][2]) - shared)
+    sizes, shared = np.array([len(r[2]) for r in rows]), _Shared([r[2] for r in rows])
+    first = shared.with_(0)
+    distance = 1 - first / (sizes + sizes[0] - first)
     _, root = np.unique([r[1] for r in rows], return_inverse=True)
     links, reach = [], 1 - percent / 100 + 1e-9
     for i in range(len(a)):
@@ -290,7 +361,7 @@ def join_blocks(a: list, b: list | None, percent: int) -> list[tuple[int, int]]:
         able &= np.abs(distance - distance[i]) <= reach
         if not able.any():
             continue
-        common = overlap(rows[i][2])
+        common = shared.with_(i)
         for j in np.flatnonzero(able & (100 * common >= percent * (sizes + sizes[i] - common))):
             if root[j] != root[i]:
                 root[root == root[j]] = root[i]
@@ -298,24 +369,52 @@ def join_blocks(a: list, b: list | None, percent: int) -> list[tuple[int, int]]:
     return links
 
 
-def _open_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of the open regions too large to list pairs: blocks of members meet two by two."""
+def _blocks_met(rows: DataFrame) -> DataFrame:
+    """Members of large regions, once for every two blocks of the region that meet there."""
+    dealt = (rows.dropDuplicates(["s", "x"]).withColumn("blocks", F.ceil(F.col("m") / BLOCK_ROWS).cast("int"))
+             .withColumn("own", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    return dealt.select("s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "x", "component")
+
+
+def _sides(key, table: pa.Table, columns: tuple[str, ...]) -> tuple[list, list | None]:
+    """Members of the two blocks that meet; the second is None where a block meets itself."""
+    sides: dict[int, list] = {}
+    for side, *member in zip(*(table.column(c).to_pylist() for c in ("own", *columns))):
+        sides.setdefault(side, []).append((*member[:-1], np.sort(np.array(member[-1], np.int64))))
+    first, second = key[1].as_py(), key[2].as_py()
+    return sides.get(first, []), None if first == second else sides.get(second, [])
+
+
+def _able(met: DataFrame, windows: DataFrame, percent: int) -> DataFrame:
+    """The members whose windows alone don't rule out every link of their blocks."""
+
+    def run(key, table):
+        one, other = _sides(key, table, ("x", "component", "n", "window"))
+        ids = {r[0] for r in able_members(one, other, percent)} if one and (other is None or other) else set()
+        rows = table.select(["s", "i", "j", "own", "x", "component"])
+        return rows.filter(pa.array([x in ids for x in table.column("x").to_pylist()], pa.bool_()))
+
+    columns = "s bigint, i int, j int, own int, x bigint, component bigint"
+    return met.join(windows, "x").groupBy("s", "i", "j").applyInArrow(run, columns).distinct()
+
+
+def _open_links(rows: DataFrame, windows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links of the open regions too large to list pairs: blocks of members meet two by two.
+
+    Windows travel first; only members that have a possible partner send their whole sets.
+    """
 
     def run(key, table):
-        sides = {}
-        for side, x, c, found in zip(*(table.column(n).to_pylist() for n in ("own", "x", "component", "shingles"))):
-            sides.setdefault(side, []).append((x, c, np.sort(np.array(found, np.int64))))
-        first, second = key[1].as_py(), key[2].as_py()
-        one, other = sides.get(first, []), None if first == second else sides.get(second, [])
+        one, other = _sides(key, table, ("x", "component", "shingles"))
         links = join_blocks(one, other, percent) if one and (other is None or other) else []
         return pa.Table.from_batches([rows_of({"u": (pa.int64(), [x for x, _ in links]), "v": (pa.int64(), [y for _, y in links])})])
 
-    blocks = F.ceil(F.col("m") / BLOCK_ROWS).cast("int")
-    dealt = (rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "x", "component"))
-    full = dealt.join(sets.withColumnRenamed("id", "x"), "x").dropDuplicates(["s", "i", "j", "own", "x"])
-    return full.groupBy("s", "i", "j").applyInArrow(run, "u bigint, v bigint")
+    able = cut(_able(_blocks_met(rows), windows, percent))
+    if able.isEmpty():
+        return able.select(F.col("x").alias("u"), F.col("x").alias("v"))
+    sets = _sets_of(texts, able.select("x"), k).where("size(shingles) > 0").withColumnRenamed("id", "x").dropDuplicates(["x", "shingles"])
+    return cut(able.join(sets, "x").groupBy("s", "i", "j").applyInArrow(run, "u bigint, v bigint"))
 
 
 def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id",
@@ -348,8 +447,9 @@ def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85, id_col: st
     # against the smallest pivot that it meets often enough, then against the others of
     # another component.
     stars = cut(shared.where((F.col("x") != F.col("c")) & _near(F.col("n"), F.col("cn"), percent))
-                .groupBy(F.col("c").alias("u"), F.col("x").alias("v")).agg(F.count("*").alias("times"))
-                .where(F.col("times") >= meetings(percent)).select("u", "v"))
+                .groupBy(F.col("c").alias("u"), F.col("x").alias("v"))
+                .agg(F.count("*").alias("times"), F.min(_needed(F.col("n"), F.col("cn"), percent)).alias("needed"))
+                .where("times >= needed").select("u", "v"))
     links = _checked(stars.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), texts, k, percent)
     found = components(links)
     apart = (stars.join(found.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left")
@@ -372,13 +472,14 @@ def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85, id_col: st
     small = (rest.where(F.col("m") <= SMALL_REGION).groupBy("s", "regions")
              .agg(F.collect_list(F.struct("x", "n", "component")).alias("all"), F.min("x").alias("c"))
              .repartition(shares(docs.sparkSession), "c").select("all", "regions")
-             .mapInArrow(_pairs(percent), "u bigint, v bigint, times bigint")
-             .groupBy("u", "v").agg(F.sum("times").alias("times")).where(F.col("times") >= meetings(percent)).select("u", "v"))
+             .mapInArrow(_pairs(percent), "u bigint, v bigint, needed bigint, times bigint")
+             .groupBy("u", "v").agg(F.sum("times").alias("times"), F.min("needed").alias("needed"))
+             .where("times >= needed").select("u", "v"))
     more = _checked(small, texts, k, percent)
     large = rest.where(F.col("m") > SMALL_REGION)
     final = links.union(more)
     if not large.isEmpty():
-        final = final.union(cut(_open_links(large, _sets_of(texts, large.select("x"), k), percent)))
+        final = final.union(_open_links(large, _windows_of(rows, large.select("x")), texts, k, percent))
     final = components(final)
 
     known = (classes.join(final.withColumnRenamed("node", "x"), "x", "left")

@@ -241,6 +241,47 @@ def test_similar_documents_edges(spark):
     assert jj.similar_documents(frame.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("k, percent", [(2, 85), (3, 60), (1, 80)])
+def test_large_open_regions_send_windows_first(spark, monkeypatch, k, percent):
+    """Regions of three members already meet in blocks of two; every link is still found."""
+    monkeypatch.setattr(jj, "SMALL_REGION", 2)
+    monkeypatch.setattr(jj, "BLOCK_ROWS", 2)
+    rng = random.Random(percent)
+    texts = []
+    for _ in range(14):
+        base = [f"w{rng.randrange(60)}" for _ in range(rng.randrange(3, 40))]
+        for _ in range(4):
+            texts.append(" ".join(w if rng.random() > 0.04 else f"x{rng.randrange(50)}" for w in base))
+    docs = docs_of(spark, texts)
+    assert rows(jj.similar_documents(docs, k, percent), "doc_id", "n_shingles", "component_id") == jaccard_brute(texts, k, percent)
+
+
+def test_windows_of_similar_sets_share_what_is_needed():
+    rng, close = random.Random(5), 0
+    for percent in (60, 85, 90):
+        for _ in range(400):
+            one = set(rng.sample(range(400), rng.randrange(1, 90)))
+            other = {x for x in one if rng.random() > 0.06} | set(rng.sample(range(400), rng.randrange(4)))
+            if not other or 100 * len(one & other) < percent * len(one | other):
+                continue
+            window = lambda x: sorted(x)[:len(x) - jj.unseen(len(x), percent)]
+            if one != other:
+                close += 1
+                assert len(set(window(one)) & set(window(other))) >= jj.needed(len(one), len(other), percent)
+    assert close > 300
+
+
+def test_only_members_with_a_possible_partner_send_their_sets():
+    """A hundred texts of a region that share a few rare shingles only; two are alike."""
+    rng = random.Random(8)
+    members = [(i, i, 100, np.sort(np.array([*range(5), *rng.sample(range(10, 10**6), 13)]))) for i in range(100)]
+    twin = members[7][3].copy()
+    members.append((500, 500, 100, twin))
+    assert [r[0] for r in jj.able_members(members, None, 85)] == [7, 500]
+    assert [r[0] for r in jj.able_members(members[:50], members[50:], 85)] == [7, 500]
+    assert jj.able_members([(a, 1, n, w) for a, _, n, w in members], None, 85) == []
+
+
 # --- 6 substrings -------------------------------------------------------------------
 
 
