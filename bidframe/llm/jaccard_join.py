@@ -28,7 +28,7 @@ from bidframe.llm.common import components, cut, group, lowered_words, rows_of,
 #: Buckets of the word counts; shingles kept as frequent; both bound what is broadcast.
 WORD_BUCKETS, HEAVY = 1 << 16, 1 << 16
 #: New shingles after which a task's summary of frequent ones is brought down again.
-SUMMARY_STEP = 2_000_000
+SUMMARY_STEP = 500_000
 #: Members up to which a region lists its open pairs; rows of a block beyond that.
 SMALL_REGION, BLOCK_ROWS = 48, 1_000
 #: Pairs that a task sums up before it hands them on.
@@ -50,7 +50,7 @@ class _Words(dict):
     """Hashes of words, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
