@@ -499,6 +499,77 @@ def test_inferred_automaton_prefers_its_format():
     assert a.log_likelihood(held) > b.log_likelihood(held) and len(a.step) < 60
 
 
+def test_whole_prefixes_count():
+    """What follows depends on the first character, far behind it; a length beyond 48 is known as well."""
+    rng = random.Random(16)
+    tail = {"7": "0123456789", "k": "ghijklmnop"}
+    path = lambda first, last: secrets.symbols(first + "-_." * 2 + "".join(rng.choice(tail[last]) for _ in range(10)))
+    found = secrets.infer([path(x, x) for x in "7k" * 100])
+    for x, y in ("7k", "k7"):
+        assert found.log_likelihood(path(x, x)) > found.log_likelihood(path(x, y)) + 5
+    found = secrets.infer([secrets.symbols("".join(rng.choice("0123456789abcdef") for _ in range(60))) for _ in range(200)])
+    held = secrets.symbols("0a" * 30)
+    assert found.log_likelihood(held) > max(found.log_likelihood(held[:n]) for n in (49, 55, 59)) - 60 * np.log(6) + 5
+    assert found.cost[:, secrets.END].max() > -0.01 and len(found.step) > 48
+
+
+def test_merging_equals_merging_of_the_tree():
+    """Against the prefix tree laid out with recursive comparison and folding."""
+    def of_tree(paths, alpha=secrets.ALPHA):
+        nodes = {}
+        for p in paths:
+            for i in range(len(p) + 1):
+                nodes.setdefault(p[:i], np.zeros(9))[int(p[i]) if i < len(p) else secrets.END] += 1
+        bound = np.sqrt(0.5 * np.log(2 / alpha))
+        rest = {q: [len(p) - len(q) for p in paths if p.startswith(q)] for q in nodes}
+        step = {q: {s: q + str(s) for s in range(8) if nodes[q][s]} for q in nodes}
+
+        def alike(a, b):
+            na, nb = nodes[a].sum(), nodes[b].sum()
+            wide = bound * (na ** -0.5 + nb ** -0.5)
+            return bool((np.abs(nodes[a] / na - nodes[b] / nb) < wide).all()) and all(
+                alike(step[a][s], step[b][s]) for s in step[a].keys() & step[b].keys())
+
+        def ends(a, b):
+            share = lambda x, k: sum(i <= k for i in rest[x]) / len(rest[x])
+            wide = bound * (len(rest[a]) ** -0.5 + len(rest[b]) ** -0.5)
+            return all(abs(share(a, k) - share(b, k)) < wide for k in {*rest[a], *rest[b]})
+
+        def fold(a, b):
+            nodes[a] = nodes[a] + nodes[b]
+            rest[a] = rest[a] + rest[b]
+            for s, t in step[b].items():
+                if s in step[a]:
+                    fold(step[a][s], t)
+                else:
+                    step[a][s] = t
+
+        red, at = [""], {}
+        while blue := [(i, s) for i, r in enumerate(red) for s in sorted(step[r]) if (i, s) not in at]:
+            i, s = blue[0]
+            q = step[red[i]][s]
+            to = next((j for j, r in enumerate(red) if ends(r, q) and alike(r, q)), None)
+            if to is None:
+                red.append(q)
+                to = len(red) - 1
+            else:
+                step[red[i]][s] = red[to]
+                fold(red[to], q)
+            at[i, s] = to
+        return [{s: at[i, s] for s in step[r]} for i, r in enumerate(red)], [nodes[r] for r in red]
+
+    for seed in range(30):
+        rng = random.Random(seed)
+        shape = ["".join(rng.choice("013") for _ in range(rng.randrange(3, 7))) for _ in range(4)]
+        paths = [rng.choice(shape) + rng.choice(("", "0", "11")) + "5" * rng.choice((2, 2, 6)) for _ in range(rng.randrange(5, 400))]
+        found = secrets.infer([np.array([*map(int, p)]) for p in paths])
+        step, counts = of_tree(paths)
+        assert [{s: int(t) for s, t in enumerate(r) if t >= 0} for r in found.step] == step
+        share = np.array([(c + 1e-4) / (c.sum() + 9e-4) for c in counts])
+        share[:, :8] /= secrets._SIZES
+        assert np.allclose(found.cost, np.log(share))
+
+
 def test_digests(spark):
     from bidframe.llm.queries import _counted
 
