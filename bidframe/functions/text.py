@@ -51,7 +51,28 @@ _SINGLE, _DROPPED, _MANY = _fold_tables()
 _FOLD_FROM = "".join(_SINGLE) + "".join(_DROPPED)
 _FOLD_TO = "".join(_SINGLE.values())
 _MANY_TABLE = "\x01".join(f"{k}\x02{v}" for k, v in _MANY.items())
-_MANY_CLASS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in _MANY) + "]"
+
+
+def _class_of(chars) -> str:
+    """A character class of ``chars`` as a tree of nested ranges: a text's characters are not tried against every member."""
+    codes, ranges = sorted(map(ord, chars)), []
+    for code in codes:
+        if ranges and code == ranges[-1][1] + 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+
+    def tree(part) -> str:
+        plain = "".join(f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high in part)
+        if len(part) <= 3:
+            return f"[{plain}]"
+        half = len(part) // 2
+        return f"[\\x{{{part[0][0]:x}}}-\\x{{{part[-1][1]:x}}}&&[{tree(part[:half])}{tree(part[half:])}]]"
+
+    return tree(ranges)
+
+
+_MANY_CLASS = _class_of(_MANY)
 
 
 def strip(c: Column) -> Column:

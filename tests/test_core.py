@@ -93,3 +93,15 @@ def test_more_hot_groups_than_the_list_holds(spark):
     assert hot.table is not None
     got = spread_join(rows, small, hot, ["n"], "inner")
     assert sorted((r.g, r.n, r.v) for r in got.collect()) == sorted((n % 20, n, n % 20 * 10) for n in range(400))
+
+
+def test_wide_foldings_are_found_fast():
+    """The class of letters that fold to several holds just these, as few ranges around which others are passed by."""
+    import re
+
+    nested = text._MANY_CLASS
+    parts = re.findall(r"\\x\{([0-9a-f]+)\}-\\x\{([0-9a-f]+)\}(?!&&)", nested)
+    members = [c for low, high in parts for c in range(int(low, 16), int(high, 16) + 1)]
+    assert sorted(members) == sorted(map(ord, text._MANY))
+    # Before: one flat class, in which every character was tried against each of about a thousand members.
+    assert nested.count("&&") >= len(parts) // 6 and max(len(p.split("-")) for p in re.findall(r"\[((?:\\x\{\w+\}-\\x\{\w+\})+)\]", nested)) <= 4
