@@ -12,6 +12,8 @@ from bidframe.functions.phrases import scores as phrase_scores  # noqa: E402
 from bidframe.operators.concepts import phrases  # noqa: E402
 from bidframe.operators.skew import find_hot, number_rows, spread_join  # noqa: E402
 from bidframe.operators.identity import no_hot  # noqa: E402
+from bidframe.operators import matrix  # noqa: E402
+from bidframe.plans.quotes import HotKeys, QuoteChain  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -105,3 +107,61 @@ def test_wide_foldings_are_found_fast():
     assert sorted(members) == sorted(map(ord, text._MANY))
     # Before: one flat class, in which every character was tried against each of about a thousand members.
     assert nested.count("&&") >= len(parts) // 6 and max(len(p.split("-")) for p in re.findall(r"\[((?:\\x\{\w+\}-\\x\{\w+\})+)\]", nested)) <= 4
+
+
+QUOTE = ("rfq_id string, source_row bigint, item_id string, description string, unit string, supplier string, quantity double, "
+         "unit_price double, total_price double, payment string, delivery string, min_order string, freight string, "
+         "validity string, observation string, status string, currency string")
+
+
+def _quotes(spark):
+    rows = []
+    for n in range(60):
+        name = (" Alfa", "ALFA ", "Beta", None, "  ", "beta")[n * 7 % 6]
+        rows.append(("R1" if n % 3 else (None if n % 4 == 0 else "R2"), n, f"I{n % 4}", "texto", "UN", name, float(n % 5), 10.0 + n * 13 % 17,
+                     None, None if n % 2 else f" {n} dias ", "3 dias" if n % 5 else " ", None, "CIF", "x", None, "A", "BRL"))
+    return spark.createDataFrame(rows, QUOTE)
+
+
+def _sorted(df, *columns):
+    return sorted(map(tuple, df.select(*columns).collect()), key=str)
+
+
+def test_names_terms_and_cheapest_without_another_shuffle(spark):
+    """In place as with oversized groups, and nothing is dealt out again when the quotes lie by request."""
+    quotes = _quotes(spark)
+    plain = QuoteChain(quotes.repartition(4, "rfq_id"), None)
+    hot = QuoteChain(quotes, None, hot=HotKeys.of(quotes, SkewPolicy(hot_rows=2)))
+    assert hot.hot.any_quotes and not plain.hot.any_quotes
+    columns = quotes.columns + ["supplier_key"]
+    terms = ["rfq_id", "supplier_key", "supplier", "payment", "delivery", "min_order", "freight", "validity", "observation",
+             "payment_days", "delivery_days", "no_min_order", "freight_included", "freight_informed"]
+    assert _sorted(plain.kept, *columns) == _sorted(hot.kept, *columns) and plain.kept.count() > 5
+    assert _sorted(plain.suppliers, *terms) == _sorted(hot.suppliers, *terms)
+    for df in (plain.kept, plain.suppliers):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    for chain in (plain, hot):
+        once = chain.written(quotes.columns)
+        assert _sorted(once.quotes, *quotes.columns) == _sorted(quotes, *quotes.columns)
+        for name in ("valid", "cheapest", "kept"):
+            assert _sorted(getattr(once, name), *columns) == _sorted(getattr(hot, name), *columns)
+
+
+def test_a_number_is_read_once_where_it_is_filtered(spark):
+    df = spark.createDataFrame([("R$ 1.234,56",), ("1,234.50",), ("1.2.3",), ("x",), (None,), ("-0",), ("12",)], "v string")
+    read = df.select("v", numbers.parse_locale_number(F.col("v")).alias("n")).where("n IS NOT NULL")
+    assert {r.v: r.n for r in read.collect()} == {"R$ 1.234,56": 1234.56, "1,234.50": 1234.5, "1.2.3": 12.3, "-0": 0.0, "12": 12.0}
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= 4
+
+
+def test_unpivot_deals_out_numbers_only(spark):
+    cells = spark.createDataFrame([("f", "s", r, c, v) for r, row in ((2, ("10", "20", "x", "7")), (3, ("5", "n/d", None, None)))
+                                   for c, v in enumerate(row, 5)], "file string, sheet string, row_idx bigint, col_idx int, value string")
+    rows = spark.createDataFrame([("f", "s", r, "i", "d", 1.0, "UN", None) for r in (2, 3)], "file string, sheet string, "
+                                 "row_idx bigint, item_id string, description string, quantity double, unit string, reason string")
+    proposals = spark.createDataFrame([("f", "s", 5, "A"), ("f", "s", 7, "B")], "file string, sheet string, col_idx int, supplier string")
+    out = matrix.matrix_unpivot(cells, rows, proposals)
+    assert _sorted(out, "row_idx", "supplier", "unit_price", "total_price") == [(2, "A", 10.0, 20.0), (3, "A", 5.0, None)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # Before: the prices were dealt out once to be grouped and once more to meet their items.
+    assert plan.count("REPARTITION_BY_COL") == 1 and "partial_max" in plan
