@@ -71,3 +71,15 @@ def test_alerts_say_what_they_mean(t):
     found = qq.alerts(t).collect()
     assert found and all(r.message for r in found)
     assert all(r.supplier in r.message for r in found if r.supplier is not None)
+
+
+def test_cells_are_compared_once(t, monkeypatch):
+    """Bands and map, as well as recommendation and decision, read cells that were written once."""
+    from bidframe.plans import sheet_queries
+    from bidframe.plans.quotes import QuoteChain
+
+    calls, plain = [], QuoteChain.cells
+    monkeypatch.setattr(QuoteChain, "cells", lambda self, *a, **k: (calls.append(1), plain(self, *a, **k))[1])
+    for query in (qq.severity_band, sheet_queries.respect_final_decision):
+        calls.clear()
+        assert query(Inputs(t.spark, DATA)).count() and len(calls) == 1
